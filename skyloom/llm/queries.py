@@ -20,6 +20,24 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_store(spark, store)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contained_items
+
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_copies
+
+    return mix_copies(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
@@ -32,6 +50,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_token_store, op6_sharding, op7_language_id)}
+QUERIES: dict[str, Query] = {
+    q.__name__: q for q in (op1_token_store, op3_simhash, op4_decontamination, op5_mixing, op6_sharding, op7_language_id)
+}
+
+
+def _oracles() -> dict[str, str]:
+    from . import decontaminate, mixing
+
+    return {"op4_decontamination": decontaminate.ORACLE, "op5_mixing": mixing.oracle()}
+
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = _oracles()
