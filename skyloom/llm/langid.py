@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,25 +133,38 @@ def train_language_model(labelled: DataFrame) -> LanguageModel:
     return LanguageModel(langs, counts.astype(np.float32), prior)
 
 
+def prediction(model: LanguageModel, text: Column, spark) -> Column:
+    """A struct of lang_pred and score (the posterior, 0 to 1) for each text; only the text goes to Python."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+
+    return predict(text.cast("string"))
+
+
 def predict_languages(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
-    """The columns keep of docs, then lang_pred and score (the posterior, 0 to 1).
+    """The columns keep of docs, then lang_pred and score.
 
     und, score 0: a null or empty text, or one without any letter. Equal texts
     get equal answers. Only ``text`` enters a prediction.
     """
-    spark = session_of(docs)
-    shared = spark.sparkContext.broadcast(model)
-    text = F.col("text").cast("string").alias("__text")
-    kept = docs.select(*[docs[k] for k in keep], text)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "lang_pred string, score double"])
+    found = docs.select(*[docs[k] for k in keep], prediction(model, F.col("text"), session_of(docs)).alias("__found"))
+    return found.select(*keep, "__found.lang_pred", "__found.score")
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shared.value.predict(t.as_py()) for t in b.column(b.num_columns - 1)]
-            names, scores = [x for x, _ in found], [x for _, x in found]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
-    return kept.mapInArrow(predict, schema)
+def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all columns, whose text is in one of the learned languages with a score of at least ``least``.
+
+    The model learns from the rows whose fold of four is not 2. If nothing is
+    labelled, texts that have a letter stay.
+    """
+    model = train_language_model(docs.where(fold(F.col("doc_id"), 4) != 2))
+    if not model.langs:
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    found = prediction(model, F.col("text"), session_of(docs))
+    return docs.withColumn("its language", found).where((F.col("its language.lang_pred") != UNDETERMINED) & (F.col("its language.score") >= least)).drop("its language")
 
 
 def fold(doc_id: Column, folds: int) -> Column:
