@@ -50,8 +50,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown_lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op1_token_store, op3_simhash, op4_decontamination, op5_mixing, op6_sharding, op7_language_id)
+    q.__name__: q for q in (op1_token_store, op3_simhash, op4_decontamination, op5_mixing, op6_sharding, op7_language_id, op10_brown_lm)
 }
 
 
