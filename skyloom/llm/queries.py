@@ -20,6 +20,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_store(spark, store)
 
 
+def op2_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .style_tree import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -57,7 +63,7 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op1_token_store, op3_simhash, op4_decontamination, op5_mixing, op6_sharding, op7_language_id, op10_brown_lm)
+    q.__name__: q for q in (op1_token_store, op2_style_tree, op3_simhash, op4_decontamination, op5_mixing, op6_sharding, op7_language_id, op10_brown_lm)
 }
 
 
