@@ -56,6 +56,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .permutation_index import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .brown_lm import score_texts
 
@@ -63,7 +71,7 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op1_token_store, op2_style_tree, op3_simhash, op4_decontamination, op5_mixing, op6_sharding, op7_language_id, op10_brown_lm)
+    q.__name__: q for q in (op1_token_store, op2_style_tree, op3_simhash, op4_decontamination, op5_mixing, op6_sharding, op7_language_id, op9_permutation_index, op10_brown_lm)
 }
 
 
