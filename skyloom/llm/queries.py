@@ -56,6 +56,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -71,7 +77,19 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op1_token_store, op2_style_tree, op3_simhash, op4_decontamination, op5_mixing, op6_sharding, op7_language_id, op9_permutation_index, op10_brown_lm)
+    q.__name__: q
+    for q in (
+        op1_token_store,
+        op2_style_tree,
+        op3_simhash,
+        op4_decontamination,
+        op5_mixing,
+        op6_sharding,
+        op7_language_id,
+        op8_license_scan,
+        op9_permutation_index,
+        op10_brown_lm,
+    )
 }
 
 
