@@ -16,6 +16,7 @@ bytes and no table of 64-bit offsets exists.
 from __future__ import annotations
 
 import json
+import string
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -33,7 +34,9 @@ MAGIC = b"SKYLEFT1"
 FOOTER = struct.Struct("<8Q8s")
 SAMPLE = 256
 #: Words whose ids a worker keeps; when full, the cache starts afresh.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
+#: Below this character, letters stay single letters in NFC and lower case, but for the dotted capital I.
+LAST_SIMPLE, DOTTED_I = "\u0250", "\u0130"
 CHUNK_TOKENS = 1 << 20
 
 
@@ -115,39 +118,93 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         spec = json.loads(tokenizer_json)
+        self.letter = "H" if self.dtype.itemsize == 2 else "I"
         self.by_word = drops_white_space(spec)
         self.lowers = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        self.lower_special = [t.lower() for t in self.special]
         if any(len(t.split()) != 1 or t.split()[0] != t for t in self.special):
             self.by_word = False
         self.cache: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
+        suffix = (spec.get("model") or {}).get("end_of_word_suffix")
+        self.word_ends = np.array([i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)], self.dtype) if suffix else None
+        self.in_parts = self.by_word and self.lowers and bool(suffix) and spec["model"].get("type") == "BPE"
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
+
+    def _cores(self, cores: list[str]) -> dict[str, bytes]:
+        """Ids of runs of letters, each one pre-token: ASCII ones by the library's model at once, others joined by spaces and cut at word ends."""
+        found = {c: self._pack([t.id for t in self.tokenizer.model.tokenize(c)]) for c in cores if c.isascii()}
+        rest = [c for c in cores if not c.isascii()]
+        if not rest:
+            return found
+        groups = [rest[k : k + 200] for k in range(0, len(rest), 200)]
+        for own, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            ends = np.flatnonzero(np.isin(ids, self.word_ends)) + 1
+            if len(ends) != len(own):
+                raise ValueError("a run of letters is not one pre-token")
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            found.update((c, raw[a * width : b * width]) for c, a, b in zip(own, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+        return found
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words, by the library; kept if there is room."""
+        """Ids of words, by the library; kept if there is room.
+
+        A word that is letters and then ASCII punctuation is two pre-tokens, and
+        many words share either; all others are encoded whole.
+        """
         found: dict[bytes, bytes] = {}
         for k in range(0, len(words), 8192):
             some = words[k : k + 8192]
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            found.update((w, self._pack(e.ids)) for w, e in zip(some, got, strict=True))
+            texts = [w.decode("utf-8", "replace") for w in some]
+            split, odd = [], []
+            for w, s in zip(some, texts, strict=True):
+                core = s.rstrip(string.punctuation)
+                if self.in_parts and core.isalpha() and (core.isascii() or max(core) < LAST_SIMPLE and DOTTED_I not in core):
+                    split.append((w, core.lower() if core.isascii() else core, s[len(core) :]))
+                else:
+                    odd.append((w, s))
+            wanted = {c for _, c, _ in split if c not in self.cores}
+            new = self._cores(list(wanted)) if wanted else {}
+            got = self.tokenizer.encode_batch_fast([s for _, s in odd], add_special_tokens=False) if odd else []
+            found.update((w, self._pack(e.ids)) for (w, _), e in zip(odd, got, strict=True))
+            for w, core, end in split:
+                ids = self.cores[core] if core in self.cores else new[core]
+                found[w] = ids + self._end(end) if end else ids
+            if len(self.cores) + len(new) > CACHED_WORDS:
+                self.cores.clear()
+            self.cores.update(new)
         if len(self.cache) + len(found) > CACHED_WORDS:
             self.cache.clear()
         if len(found) <= CACHED_WORDS:
             self.cache.update(found)
         return found
 
+    def _end(self, end: str) -> bytes:
+        if end not in self.ends:
+            if len(self.ends) > 10_000:
+                self.ends.clear()
+            self.ends[end] = self._pack(self.tokenizer.encode(end, add_special_tokens=False).ids)
+        return self.ends[end]
+
     def encode(self, text: bytes) -> bytes:
         if not self.by_word:
             return self._pack(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        lower = self.lowers and text.isascii() and not any(t.lower() in text.lower() for t in self.special)
-        words = (text.lower() if lower else text).split()
+        if self.lowers and text.isascii():
+            low = text.lower()
+            if not any(t in low for t in self.lower_special):
+                text = low
+        words = text.split()
         parts = list(map(self.cache.get, words))
         if None in parts:
-            missing = {w for w, p in zip(words, parts, strict=True) if p is None}
-            found = self._learn(list(missing))
-            parts = [found[w] if p is None else p for w, p in zip(words, parts, strict=True)]
+            missing = [i for i, p in enumerate(parts) if p is None]
+            found = self._learn(list({words[i] for i in missing}))
+            for i in missing:
+                parts[i] = found[words[i]]
         return b"".join(parts)
 
 
