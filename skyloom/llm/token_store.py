@@ -33,8 +33,8 @@ from .common import session_of, shuffle_partitions, work_path
 MAGIC = b"SKYLEFT1"
 FOOTER = struct.Struct("<8Q8s")
 SAMPLE = 256
-#: Words whose ids a worker keeps; when full, the cache starts afresh.
-CACHED_WORDS = 400_000
+#: Words whose ids a worker keeps in each of two generations: when the younger is full it becomes the older, which hands back what is asked for again.
+CACHED_WORDS = 300_000
 #: Below this character, letters stay single letters in NFC and lower case, but for the dotted capital I.
 LAST_SIMPLE, DOTTED_I = "\u0250", "\u0130"
 CHUNK_TOKENS = 1 << 20
@@ -126,7 +126,9 @@ class WordEncoder:
         if any(len(t.split()) != 1 or t.split()[0] != t for t in self.special):
             self.by_word = False
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self.older_cores: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {}
         suffix = (spec.get("model") or {}).get("end_of_word_suffix")
         self.word_ends = np.array([i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)], self.dtype) if suffix else None
@@ -157,7 +159,9 @@ class WordEncoder:
         A word that is letters and then ASCII punctuation is two pre-tokens, and
         many words share either; all others are encoded whole.
         """
-        found: dict[bytes, bytes] = {}
+        older = self.older
+        found: dict[bytes, bytes] = {w: older[w] for w in words if w in older}
+        words = [w for w in words if w not in found] if found else words
         for k in range(0, len(words), 8192):
             some = words[k : k + 8192]
             texts = [w.decode("utf-8", "replace") for w in some]
@@ -169,17 +173,19 @@ class WordEncoder:
                 else:
                     odd.append((w, s))
             wanted = {c for _, c, _ in split if c not in self.cores}
-            new = self._cores(list(wanted)) if wanted else {}
+            new = {c: self.older_cores[c] for c in wanted if c in self.older_cores}
+            wanted -= new.keys()
+            new |= self._cores(list(wanted)) if wanted else {}
             got = self.tokenizer.encode_batch_fast([s for _, s in odd], add_special_tokens=False) if odd else []
             found.update((w, self._pack(e.ids)) for (w, _), e in zip(odd, got, strict=True))
             for w, core, end in split:
                 ids = self.cores[core] if core in self.cores else new[core]
                 found[w] = ids + self._end(end) if end else ids
             if len(self.cores) + len(new) > CACHED_WORDS:
-                self.cores.clear()
+                self.older_cores, self.cores = self.cores, {}
             self.cores.update(new)
         if len(self.cache) + len(found) > CACHED_WORDS:
-            self.cache.clear()
+            self.older, self.cache = self.cache, {}
         if len(found) <= CACHED_WORDS:
             self.cache.update(found)
         return found
