@@ -92,6 +92,7 @@ def search_block(pivots_n: int, k: int):
         ids = stored["vec_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
+        repeated = bool((ids[1:] == ids[:-1]).any())
         vectors = np.frombuffer(b"".join(stored["vector"].to_pylist()), "<f8").reshape(len(ids), -1)[order]
         exact = key[0].as_py() == NO_PIVOT
         wanted = len(ids) if exact else min(len(ids), max(LEAST_RERANKED, int(np.ceil(RERANKED * len(ids)))))
@@ -101,7 +102,7 @@ def search_block(pivots_n: int, k: int):
             places = np.full((pivots_n, len(ids)), prefix, np.int16)
             places[orders.T.astype(np.int64), np.arange(len(ids))] = np.arange(prefix, dtype=np.int16)[:, None]
         queries, found, scores = [], [], []
-        for query, vector, pivots in zip(*(asked[c].to_pylist() for c in ("asked_vec_id", "asked_vector", "asked_pivots")), strict=True):
+        for query, vector, pivots in zip(*(asked[c].to_pylist() for c in ("asked_vec_id", "asked_vector", "asked_order")), strict=True):
             q = np.frombuffer(vector, "<f8")
             near = np.arange(len(ids))
             if wanted < len(ids):
@@ -109,6 +110,11 @@ def search_block(pivots_n: int, k: int):
                 near = np.flatnonzero(far <= np.partition(far, wanted - 1)[wanted - 1])  # with all ties
             near = near[ids[near] != query]
             score = (vectors[near] * q).sum(1)  # each row summed alone: equal vectors have equal scores anywhere
+            if repeated and len(near):  # an id's best vector stands for it
+                by_id = np.lexsort((-score, ids[near]))
+                own = ids[near[by_id]]
+                keep = by_id[np.concatenate([[True], own[1:] != own[:-1]])]
+                near, score = near[keep], score[keep]
             if len(near) > k:
                 least = np.partition(score, len(near) - k)[len(near) - k]
                 keep = score >= least
@@ -124,12 +130,13 @@ def search_block(pivots_n: int, k: int):
     return search
 
 
-def build_index(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """vec_id, vector (bytes), pivots (bytes, their numbers in order) and files of every vector that takes part; the number of pivots."""
+def build_index(vectors: DataFrame, is_query: Column) -> tuple[DataFrame, int]:
+    """vec_id, vector (bytes), pivots (bytes, their numbers in order) and files of every vector that takes part, asked_pivots and asked_files of queries (else null); the number of pivots."""
     rows = usable(vectors)
     shape = rows.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n"), F.max("norm").alias("most")).orderBy(F.desc("n"), "dims").first()
     if shape is None:
-        return rows.select("vec_id", F.lit(b"").alias("vector"), F.lit(b"").alias("pivots"), F.array().cast("array<int>").alias("files")), 0
+        none = F.array().cast("array<int>")
+        return rows.select("vec_id", *[F.lit(b"").alias(c) for c in ("vector", "pivots", "asked_pivots")], none.alias("files"), none.alias("asked_files")), 0
     rows = rows.where(F.size("vector") == shape["dims"])
     pivots = choose_pivots(rows, shape["most"], shape["dims"])
     shared = session_of(vectors).sparkContext.broadcast((pivots, shape["most"]))  # PIVOTS vectors
@@ -141,11 +148,21 @@ def build_index(vectors: DataFrame) -> tuple[DataFrame, int]:
                 continue
             flat = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             near = nearest_pivots(lift(flat, most), pivots)
-            raw = [x.astype("<f8").tobytes() for x in flat]
-            files = pa.array(list(near[:, :POSTED].astype(np.int32)), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), pa.array([x.astype("<i2").tobytes() for x in near], pa.binary()), files], ["vec_id", "vector", "pivots", "files"])
+            asks = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            length = np.sqrt((flat * flat).sum(1))
+            asked = nearest_pivots(np.concatenate([flat / length[:, None], np.zeros((len(flat), 1))], axis=1), pivots)
+
+            def packed(orders: np.ndarray, known: np.ndarray) -> tuple[pa.Array, pa.Array]:
+                raw = [x.astype("<i2").tobytes() if k else None for x, k in zip(orders, known, strict=True)]
+                files = [x[:POSTED].astype(np.int32) if k else None for x, k in zip(orders, known, strict=True)]
+                return pa.array(raw, pa.binary()), pa.array(files, pa.list_(pa.int32()))
+
+            columns = [pa.array([x.astype("<f8").tobytes() for x in flat], pa.binary()), *packed(near, np.ones(len(flat), bool)), *packed(asked, asks)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["vec_id", "vector", "pivots", "files", "asked_pivots", "asked_files"])
 
-    return settle(rows.select("vec_id", "vector").mapInArrow(order, "vec_id long, vector binary, pivots binary, files array<int>"), "orders"), len(pivots)
+    rows = rows.select("vec_id", "vector", F.coalesce(is_query, F.lit(False)).alias("asks"))
+    schema = "vec_id long, vector binary, pivots binary, files array<int>, asked_pivots binary, asked_files array<int>"
+    return settle(rows.mapInArrow(order, schema), "orders"), len(pivots)
 
 
 def search_files(index: DataFrame, queries: DataFrame, pivots_n: int, k: int) -> DataFrame:
@@ -156,7 +173,7 @@ def search_files(index: DataFrame, queries: DataFrame, pivots_n: int, k: int) ->
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     one = lambda c: F.pmod(F.xxhash64("vec_id"), F.col(c)).cast("int")
     stored = index.join(shares, "file").select("file", one("parts").alias("part"), every("query_parts").alias("query_part"), "vec_id", "vector", "pivots")
-    asked = queries.join(shares, "file").select("file", every("parts").alias("part"), one("query_parts").alias("query_part"), *[F.col(c).alias(f"asked_{c}") for c in ("vec_id", "vector", "pivots")])
+    asked = queries.join(shares, "file").select("file", every("parts").alias("part"), one("query_parts").alias("query_part"), F.col("vec_id").alias("asked_vec_id"), F.col("vector").alias("asked_vector"), F.col("asked_pivots").alias("asked_order"))
     keys = ["file", "part", "query_part"]
     return stored.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search_block(pivots_n, k), "query_id long, vec_id long, score double")
 
@@ -170,9 +187,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     the best of their scores, and never candidates of their own id. If fewer
     than k candidates exist, all are returned; no rows give no rows.
     """
-    index, pivots_n = build_index(vectors)
-    queries = index.where(is_query)
-    files = search_files(index.withColumn("file", F.explode("files")), queries.withColumn("file", F.explode("files")), pivots_n, k)
+    index, pivots_n = build_index(vectors, is_query)
+    queries = index.where("asked_pivots is not null")
+    files = search_files(index.withColumn("file", F.explode("files")), queries.withColumn("file", F.explode("asked_files")), pivots_n, k)
     found = settle(files.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
     # those with fewer than k, though there are more vectors, meet all of them
     total = index.select("vec_id").distinct().limit(k + 1).count()
