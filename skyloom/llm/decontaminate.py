@@ -42,8 +42,12 @@ def shingle_hash(hashes: str, place: str, width: int) -> Column:
 
 
 def item_shingles(items: DataFrame, words_n: int, threshold: float) -> DataFrame:
-    """item_id, width (words_n, or all words of a shorter item), words, shingles, n, need and size_class of items that have a word."""
-    words = items.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    """item_no, item_id, width (words_n, or all words of a shorter item), words, shingles, n, need and size_class of items that have a word.
+
+    item_no stands for an id and a text, so that an item without an id is one too.
+    """
+    once = items.select("item_id", "text").distinct()
+    words = once.select(F.xxhash64("item_id", "text").alias("item_no"), "item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     wide = words.withColumn("width", F.least(F.size("words"), F.lit(words_n)))
     counted = wide.withColumn("shingles", shingles_of(F.col("words"), F.col("width"))).withColumn("n", F.size("shingles"))
     # in whole thousandths: 0.8 * 5 is 4 and not a little more
@@ -60,7 +64,7 @@ def contained_items(docs: DataFrame, items: DataFrame, words_n: int = WORDS, thr
 
     Null and empty texts contain nothing and items without a word are contained
     in nothing; items of fewer words than a shingle are one shingle of all their
-    words. Rows that repeat a doc_id with another text are searched apart, and
+    words; an item without an id is returned with a null item_id. Rows that repeat a doc_id with another text are searched apart, and
     the best containment of the id is returned; equal rows are one. Null ids are
     returned as null.
     """
@@ -71,18 +75,18 @@ def contained_items(docs: DataFrame, items: DataFrame, words_n: int = WORDS, thr
     hits = []
     for row in sizes:
         width = row["width"]
-        own = known.where(F.col("width") == width).select("item_id", "size_class", "n", "need", F.transform("words", lambda w: F.xxhash64(w)).alias("word_hashes"))
+        own = known.where(F.col("width") == width).select("item_no", "size_class", "n", "need", F.transform("words", lambda w: F.xxhash64(w)).alias("word_hashes"))
         places = own.select("*", F.explode(F.sequence(F.lit(0), F.size("word_hashes") - width)).alias("place"))
-        ranked = places.select("item_id", "size_class", "n", "need", shingle_hash("word_hashes", "place", width).alias("h")).distinct()
-        order = Window.partitionBy("item_id", "n", "need").orderBy("h")
+        ranked = places.select("item_no", "size_class", "n", "need", shingle_hash("word_hashes", "place", width).alias("h")).distinct()
+        order = Window.partitionBy("item_no", "n", "need").orderBy("h")
         # least_n: what the smallest item of the size class needs, so the fewest shingles a text must have to meet it
         least = F.ceil(F.pow(F.lit(2.0), "size_class") * F.lit(threshold)).cast("int")
-        sketch = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("n") - F.col("need") + 1).select("h", "item_id", least.alias("least_n"))
+        sketch = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("n") - F.col("need") + 1).select("h", "item_no", least.alias("least_n"))
         long_enough = hashed.where(F.size("word_hashes") >= width)
         probes = long_enough.select("doc_id", "text_hash", "word_hashes", F.explode(F.sequence(F.lit(0), F.size("word_hashes") - width)).alias("place"))
         probes = probes.select("doc_id", "text_hash", (F.size("word_hashes") - width + 1).alias("text_n"), shingle_hash("word_hashes", "place", width).alias("h"))
         met = probes.join(_bounded(sketch, row["shingles"]), "h").where("text_n >= least_n")
-        hits.append(met.select("doc_id", "text_hash", "item_id").distinct())
+        hits.append(met.select("doc_id", "text_hash", "item_no").distinct())
     if not hits:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, item_shingles int, shared int, containment double")
     pairs = hits[0]
@@ -94,11 +98,11 @@ def contained_items(docs: DataFrame, items: DataFrame, words_n: int = WORDS, thr
 
 def verified(texts: DataFrame, known: DataFrame, items: int, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose text has enough of the item's shingles, compared as strings."""
-    found = pairs.groupBy("doc_id", "text_hash").agg(F.collect_set("item_id").alias("item_ids"))  # at most the items that share a hash with one text
+    found = pairs.groupBy("doc_id", "text_hash").agg(F.collect_set("item_no").alias("item_nos"))  # at most the items that share a hash with one text
     named = texts.withColumn("text_hash", F.xxhash64("text"))
     same = named["doc_id"].eqNullSafe(found["doc_id"]) & (named["text_hash"] == found["text_hash"])
-    met = named.join(found, same).select(named["doc_id"], words_of(F.col("text")).alias("text_words"), F.explode("item_ids").alias("item_id"))
-    both = met.join(_bounded(known.select("item_id", "width", "shingles", "n", "need"), items), "item_id")
+    met = named.join(found, same).select(named["doc_id"], words_of(F.col("text")).alias("text_words"), F.explode("item_nos").alias("item_no"))
+    both = met.join(_bounded(known.select("item_no", "item_id", "width", "shingles", "n", "need"), items), "item_no")
     shared = F.size(F.array_intersect("shingles", shingles_of(F.col("text_words"), F.col("width"))))
     kept = both.select("doc_id", "item_id", F.col("n").alias("item_shingles"), shared.alias("shared"), "need").where(F.col("shared") >= F.col("need"))
     best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("shared", "item_shingles")).alias("best"))
