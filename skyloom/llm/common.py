@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.common import settled as settle
+from ..operators.common import shared_folder
+
+__all__ = ["session_of", "settle", "shared_folder", "shuffle_partitions", "table", "work_path"]
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -32,39 +36,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, as in tests, a new local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = Path(tempfile.mkdtemp(prefix="skyloom-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        kept = _LOCAL.setdefault(spark.sparkContext.applicationId, folder)
-        folder = kept
-    return folder.rstrip("/")
-
-
-_LOCAL: dict[str, str] = {}
-
-
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path for one run's files in the shared folder."""
     return f"{shared_folder(spark)}/skyloom/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once to the shared folder and read again: later uses neither recompute them nor depend on one executor."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a settled table that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/skyloom/" in path:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
