@@ -91,6 +91,26 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame) -> pa.Table:
+    """word and n of at most BROADCAST_WORDS words, those with counts above a limit, most frequent first.
+
+    The limit comes from a histogram of counts in steps of a 64th of a power of
+    two, a few thousand rows for any corpus, so no task sorts the vocabulary.
+    """
+    words = counts.where(F.octet_length("word") > 0)
+    power = F.length(F.bin("n")) - 1
+    step = (power * 64 + F.floor(F.col("n") * 64.0 / F.pow(F.lit(2.0), power)) - 64).cast("int")
+    rows = sorted(((r["step"], r["words"]) for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    limit, held = None, 0
+    for at, n in rows:
+        if held + n > BROADCAST_WORDS:
+            break
+        limit, held = at, held + n
+    if limit is None:
+        return pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
+    return words.where(step >= limit).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+
+
 def unit_bigrams(train: DataFrame, head: dict[bytes, int]) -> np.ndarray:
     """How often each unit follows each unit, texts framed by the end. The driver gets UNITS x UNITS numbers at most."""
     spark = train.sparkSession
@@ -227,7 +247,7 @@ def train_model(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     train = training_part(docs)
     counts = settle(word_counts(train), "word-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(BROADCAST_WORDS).toArrow()
+    top = frequent_words(counts)
     words = {w: i for i, w in enumerate(top["word"].to_pylist())}
     head = {w: i for w, i in words.items() if i < HEAD}
     bigrams = unit_bigrams(train, head)
