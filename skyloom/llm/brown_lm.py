@@ -160,56 +160,58 @@ def _f(x: np.ndarray) -> np.ndarray:
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of each unit; the last unit, the end, has the class ``classes`` to itself.
 
-    Starts from units dealt out in order of frequency; each sweep takes every
-    unit in that order to its best class; ends when a sweep moves none.
+    The most frequent units start a class each; all others join, in order of
+    frequency, the class that serves the likelihood of the class bigrams best.
+    Then each sweep takes every unit out and puts it into its best class; ends
+    when a sweep moves none.
     """
     n, k = len(bigrams), classes + 1
     follow = bigrams.astype(np.float64)
-    mass = follow.sum(0)
-    order = np.argsort(-mass[: n - 1], kind="stable")
-    of = np.zeros(n, np.int64)
-    of[order] = np.arange(n - 1) % classes
+    order = np.argsort(-(follow.sum(0) + follow.sum(1))[: n - 1], kind="stable")
+    of = np.full(n, -1, np.int64)
+    right, left = np.zeros((n, k)), np.zeros((n, k))  # of each unit: tokens after and before it, by class
+    joint = np.zeros((k, k))
+
+    def shift(u: int, c: int, sign: int) -> None:
+        """Puts a unit into a class, or takes it out."""
+        if sign < 0:
+            right[:, c] -= follow[:, u]
+            left[:, c] -= follow[u]
+        joint[c, :] += sign * right[u]
+        joint[:, c] += sign * left[u]
+        joint[c, c] += sign * follow[u, u]
+        if sign > 0:
+            right[:, c] += follow[:, u]
+            left[:, c] += follow[u]
+
+    def gains(u: int) -> np.ndarray:
+        """Of putting a unit that is in no class into each; x ln x of counts, less that of their sums."""
+        r, l_, own = right[u], left[u], follow[u, u]
+        base, d = _f(joint), np.diagonal(joint)
+        gain = (_f(joint + r) - base).sum(1) + (_f(joint + l_[:, None]) - base).sum(0)
+        gain += _f(d + r + l_ + own) + _f(d) - _f(d + r) - _f(d + l_)
+        row, col = joint.sum(1), joint.sum(0)
+        # sums of rows and columns: those of the joined class, and those that the unit's neighbours add to
+        gain -= _f(row + r.sum() + l_ + own) - _f(row + l_) + _f(col + l_.sum() + r + own) - _f(col + r)
+        return gain[:classes]
+
     of[n - 1] = classes
-    member = np.zeros((n, k))
-    member[np.arange(n), of] = 1.0
-    right, left = follow @ member, follow.T @ member  # of each unit: tokens after and before it, by class
-    joint = member.T @ right
-    row, col = joint.sum(1), joint.sum(0)
+    shift(n - 1, classes, 1)
+    for place, u in enumerate(order.tolist()):
+        of[u] = place if place < classes else int(np.argmax(gains(u)))
+        shift(u, of[u], 1)
     for _ in range(sweeps):
         moved = 0
         for u in order.tolist():
-            a, own = of[u], follow[u, u]
-            r, l_ = right[u].copy(), left[u].copy()
-            r[a] -= own
-            l_[a] -= own
-            n_r, n_l = r.sum() + own, l_.sum() + own
-            if n_r + n_l == 0:
-                continue
-            joint[a, :] -= r
-            joint[:, a] -= l_
-            joint[a, a] -= own
-            row[a] -= n_r
-            col[a] -= n_l
-            base = _f(joint)
-            gain = (_f(joint + r) - base).sum(1) + (_f(joint + l_[:, None]) - base).sum(0)
-            d = np.diagonal(joint)
-            gain += _f(d + r + l_ + own) - _f(d) - (_f(d + r) - _f(d)) - (_f(d + l_) - _f(d))
-            gain -= _f(row + n_r) - _f(row) + _f(col + n_l) - _f(col)
-            b = int(np.argmax(gain[:classes]))
+            a = int(of[u])
+            shift(u, a, -1)
+            gain = gains(u)
+            b = int(np.argmax(gain))
             if gain[b] <= gain[a] + 1e-9:
-                b = int(a)
-            joint[b, :] += r
-            joint[:, b] += l_
-            joint[b, b] += own
-            row[b] += n_r
-            col[b] += n_l
-            if b != a:
-                moved += 1
-                of[u] = b
-                right[:, a] -= follow[:, u]
-                right[:, b] += follow[:, u]
-                left[:, a] -= follow[u]
-                left[:, b] += follow[u]
+                b = a
+            shift(u, b, 1)
+            of[u] = b
+            moved += a != b
         if not moved:
             break
     return of
