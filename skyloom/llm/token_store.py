@@ -34,10 +34,11 @@ MAGIC = b"SKYLEFT1"
 FOOTER = struct.Struct("<8Q8s")
 SAMPLE = 256
 #: Words whose ids a worker keeps in each of two generations: when the younger is full it becomes the older, which hands back what is asked for again.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 #: Below this character, letters stay single letters in NFC and lower case, but for the dotted capital I.
 LAST_SIMPLE, DOTTED_I = "\u0250", "\u0130"
 CHUNK_TOKENS = 1 << 20
+ENCODED_AT_ONCE = 1 << 19
 
 
 class EliasFano:
@@ -131,7 +132,9 @@ class WordEncoder:
         self.older_cores: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {}
         suffix = (spec.get("model") or {}).get("end_of_word_suffix")
-        self.word_ends = np.array([i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)], self.dtype) if suffix else None
+        self.is_end = np.zeros(size, bool)
+        if suffix:
+            self.is_end[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.in_parts = self.by_word and self.lowers and bool(suffix) and spec["model"].get("type") == "BPE"
 
     def _pack(self, ids: list[int]) -> bytes:
@@ -146,7 +149,7 @@ class WordEncoder:
         groups = [rest[k : k + 200] for k in range(0, len(rest), 200)]
         for own, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
-            ends = np.flatnonzero(np.isin(ids, self.word_ends)) + 1
+            ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) != len(own):
                 raise ValueError("a run of letters is not one pre-token")
             raw, width = ids.tobytes(), self.dtype.itemsize
@@ -159,31 +162,44 @@ class WordEncoder:
         A word that is letters and then ASCII punctuation is two pre-tokens, and
         many words share either; all others are encoded whole.
         """
-        older = self.older
-        found: dict[bytes, bytes] = {w: older[w] for w in words if w in older}
-        words = [w for w in words if w not in found] if found else words
-        for k in range(0, len(words), 8192):
-            some = words[k : k + 8192]
-            texts = [w.decode("utf-8", "replace") for w in some]
-            split, odd = [], []
-            for w, s in zip(some, texts, strict=True):
-                core = s.rstrip(string.punctuation)
-                if self.in_parts and core.isalpha() and (core.isascii() or max(core) < LAST_SIMPLE and DOTTED_I not in core):
-                    split.append((w, core.lower() if core.isascii() else core, s[len(core) :]))
-                else:
-                    odd.append((w, s))
-            wanted = {c for _, c, _ in split if c not in self.cores}
-            new = {c: self.older_cores[c] for c in wanted if c in self.older_cores}
-            wanted -= new.keys()
-            new |= self._cores(list(wanted)) if wanted else {}
-            got = self.tokenizer.encode_batch_fast([s for _, s in odd], add_special_tokens=False) if odd else []
-            found.update((w, self._pack(e.ids)) for (w, _), e in zip(odd, got, strict=True))
-            for w, core, end in split:
-                ids = self.cores[core] if core in self.cores else new[core]
-                found[w] = ids + self._end(end) if end else ids
-            if len(self.cores) + len(new) > CACHED_WORDS:
-                self.older_cores, self.cores = self.cores, {}
-            self.cores.update(new)
+        found: dict[bytes, bytes] = {}
+        split: list[tuple[bytes, str, str]] = []
+        odd: list[tuple[bytes, str]] = []
+        older, cores, marks = self.older.get, self.cores, string.punctuation
+        new: set[str] = set()
+        for w in words:
+            ids = older(w)
+            if ids is not None:
+                found[w] = ids
+                continue
+            text = w.decode("utf-8", "replace")
+            core = text.rstrip(marks)
+            if not (self.in_parts and core.isalpha()):
+                odd.append((w, text))
+                continue
+            end = text[len(core) :]
+            if core.isascii():
+                core = core.lower()
+            elif max(core) >= LAST_SIMPLE or DOTTED_I in core:
+                odd.append((w, text))
+                continue
+            if core not in cores:
+                new.add(core)
+            split.append((w, core, end))
+        learned = {c: self.older_cores[c] for c in new if c in self.older_cores}
+        new.difference_update(list(learned))
+        if new:
+            learned |= self._cores(list(new))
+        for w, core, end in split:
+            ids = cores.get(core) or learned[core]
+            found[w] = ids + self._end(end) if end else ids
+        for k in range(0, len(odd), 8192):
+            some = odd[k : k + 8192]
+            got = self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
+            found.update((w, self._pack(e.ids)) for (w, _), e in zip(some, got, strict=True))
+        if len(cores) + len(learned) > CACHED_WORDS:
+            self.older_cores, self.cores = cores, {}
+        self.cores.update(learned)
         if len(self.cache) + len(found) > CACHED_WORDS:
             self.older, self.cache = self.cache, {}
         if len(found) <= CACHED_WORDS:
@@ -197,21 +213,45 @@ class WordEncoder:
             self.ends[end] = self._pack(self.tokenizer.encode(end, add_special_tokens=False).ids)
         return self.ends[end]
 
-    def encode(self, text: bytes) -> bytes:
-        if not self.by_word:
-            return self._pack(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
+    def _words(self, text: bytes) -> list[bytes]:
         if self.lowers and text.isascii():
             low = text.lower()
             if not any(t in low for t in self.lower_special):
                 text = low
-        words = text.split()
-        parts = list(map(self.cache.get, words))
-        if None in parts:
-            missing = [i for i, p in enumerate(parts) if p is None]
-            found = self._learn(list({words[i] for i in missing}))
-            for i in missing:
-                parts[i] = found[words[i]]
-        return b"".join(parts)
+        return text.split()
+
+    def encode(self, text: bytes) -> bytes:
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text; what is new in any of them is learned at once."""
+        if not self.by_word:
+            return [self._pack(self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids) for t in texts]
+        words = [self._words(t) for t in texts]
+        parts = [list(map(self.cache.get, w)) for w in words]
+        missing = [[i for i, p in enumerate(own) if p is None] if None in own else [] for own in parts]
+        unknown = {w[i] for w, at in zip(words, missing, strict=True) for i in at}
+        if unknown:
+            found = self._learn(list(unknown))
+            for w, own, at in zip(words, parts, missing, strict=True):
+                for i in at:
+                    own[i] = found[w[i]]
+        return [b"".join(own) for own in parts]
+
+
+def groups_of(column: pa.Array, most: int = ENCODED_AT_ONCE) -> Iterator[list[bytes]]:
+    """Texts (null: empty) in groups of at most so many bytes; a longer text is its own group."""
+    own: list[bytes] = []
+    held = 0
+    for value in column:
+        text = value.as_py() or b""
+        if own and held + len(text) > most:
+            yield own
+            own, held = [], 0
+        own.append(text)
+        held += len(text)
+    if own:
+        yield own
 
 
 def drops_white_space(spec: dict) -> bool:
@@ -256,10 +296,10 @@ def write_shard(path: str, batches: Iterable[pa.RecordBatch], encode: WordEncode
             ids = batch.column(0)
             nulls += ids.null_count
             doc_ids.append(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
-            for text in batch.column(1):
-                raw = encode.encode(text.as_py() or b"") + end
-                out.write(raw)
-                lengths.append(len(raw) // width)
+            for texts in groups_of(batch.column(1)):
+                for ids_of_text in encode.encode_many(texts):
+                    out.write(ids_of_text + end)
+                    lengths.append(len(ids_of_text) // width + 1)
         bounds = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))]).astype(np.int64)
         tokens = int(bounds[-1])
         code = EliasFano.of(bounds)
