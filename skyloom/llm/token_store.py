@@ -34,7 +34,7 @@ MAGIC = b"SKYLEFT1"
 FOOTER = struct.Struct("<8Q8s")
 SAMPLE = 256
 #: Words whose ids a worker keeps in each of two generations: when the younger is full it becomes the older, which hands back what is asked for again.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 450_000
 #: Below this character, letters stay single letters in NFC and lower case, but for the dotted capital I.
 LAST_SIMPLE, DOTTED_I = "\u0250", "\u0130"
 CHUNK_TOKENS = 1 << 20
@@ -282,6 +282,11 @@ def encoder(tokenizer_json: str) -> WordEncoder:
     return _ENCODERS[key]
 
 
+def forget_encoders() -> None:
+    """Frees what this worker keeps for encoding: by the time a store is read, all of it is written."""
+    _ENCODERS.clear()
+
+
 def write_shard(path: str, batches: Iterable[pa.RecordBatch], encode: WordEncoder, end_id: int) -> tuple[int, int]:
     """Documents and tokens of one shard, written under another name and moved into place, so that a repeated task is harmless."""
     store, target = fs.FileSystem.from_uri(path)
@@ -396,6 +401,7 @@ def read_token_store(spark, store: TokenStore, with_ids: bool = False) -> DataFr
     names = spark.createDataFrame([(name, first) for name, _, _, first in store.shards], "name string, first long")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in batches:
             for name, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 shard = Shard(f"{path}/{name}")
