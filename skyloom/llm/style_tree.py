@@ -6,12 +6,13 @@ presentation importance is the entropy (base m) of the forms its branch takes,
 content importance that of its texts; a menu that all pages share has both near
 0, an article near 1. A node's importance joins both as
 
-    (1 - 0.9^l) * presentation + 0.9^l * content,    l: kinds of children,
+    (1 - 0.9^l) * presentation + 0.9^l * content    (l: kinds of children),
 
-and is weighed by what the markup itself says: branches that name themselves as
-menus, headers, footers, adverts, forms, comments and so on count a fifth, those
-of an article or main element always count in full. Branches below the threshold
-go, unless they hold most of a page's text.
+where a menu of changing words would still look like content. So the markup's own
+word comes first: branches that name themselves as menus, headers, footers,
+adverts, forms, comments and so on go, those of an article or main element stay.
+The tree decides about all others: below the threshold they go, unless they hold
+most of a page's text. A page whose text is all in an article does not depend on it.
 
 Statistics are sums over (host, path, hash) with a map-side count, so a host of
 any size is never gathered in one place; a page meets the low nodes of its own
@@ -34,7 +35,6 @@ from .common import session_of
 
 THRESHOLD = 0.3
 GAMMA = 0.9
-BOILERPLATE_PRIOR = 0.2
 #: A node on fewer pages of its host has importance 1: there is nothing to compare.
 LEAST_PAGES = 3
 COUNTED_AT_ONCE = 200_000
