@@ -5,7 +5,7 @@ as Parquet and read again as the next one's docs. All but the last return the
 columns of documents.
 
 * language_id drops texts without a letter and those in no learned language;
-* near_duplicates keeps of each SimHash component the document that names it;
+* near_duplicates keeps of texts that share 0.8 of their five-word shingles (and chains of them) the one of the smallest id;
 * decontamination drops documents that contain a benchmark item;
 * mixing repeats or drops documents so that sources meet their weights;
 * token_store writes the ids of what is left and returns a row for each document of the store.
@@ -21,7 +21,7 @@ from skyloom.llm.common import settle, table
 from skyloom.llm.decontaminate import decontaminate
 from skyloom.llm.langid import keep_identified
 from skyloom.llm.mixing import mix
-from skyloom.llm.simhash import keep_one_of_each
+from skyloom.llm.near_copies import keep_one_of_similar
 from skyloom.llm.token_store import read_token_store, write_token_store
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one_of_each(docs)
+    return keep_one_of_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,236 @@
+"""Near copies by exact Jaccard similarity of five-word shingles, as an all-pairs join with prefix filters.
+
+Two sets of a and b shingles with a similarity of at least t share at least t *
+max(a, b) of them. So in any one order of all shingles, the first n - ceil(t * n) +
+1 of each have one in common: every near pair meets under a shingle of these
+prefixes, and no pair is missed. The order is by how often a shingle occurs (a
+count in a fixed number of hash buckets), so that prefixes hold rare shingles and
+keys are small; it decides the cost alone, not the result.
+
+Only components matter, so pairs are compared in two rounds. The first compares
+the sets of each key with two of them: the smallest, and one drawn by hash. The
+second compares the pairs of a key that the first has not joined. Pairs that the
+sizes and the places in the prefixes allow are verified on their whole sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import session_of, settle, shuffle_partitions
+from .simhash import components, shingle_hashes
+
+WORDS = 5
+#: Similarity in thousandths.
+SIMILAR = 800
+#: Buckets in which occurrences of shingles are counted, and the parts in which they are summed.
+BUCKETS = 1 << 20
+PARTS = 32
+#: A shingle of so many occurrences more than others is dealt out to several tasks. Rows that a task passes on at once.
+HOT = 1024
+ROWS_AT_ONCE = 200_000
+
+
+def shingle_set(raw: bytes | None) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; fewer than five words are one shingle, none give none."""
+    return np.unique(shingle_hashes(raw or b"", WORDS))
+
+
+def set_id(own: np.ndarray) -> int:
+    """One number for equal sets."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(own.astype("<u8").tobytes(), 7) - (1 << 63)
+
+
+def prefix_length(n: int) -> int:
+    return n - -(-SIMILAR * n // 1000) + 1
+
+
+def set_ids(docs: DataFrame) -> DataFrame:
+    """doc_id, node (the number of its shingle set) and text_hash of every row."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_id(shingle_set(t.as_py())) for t in b.column(1)], pa.int64()), b.column(2)], ["doc_id", "node", "text_hash"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(compute, "doc_id long, node long, text_hash long")
+
+
+def occurrences(docs: DataFrame) -> np.ndarray:
+    """How many texts hold a shingle of each bucket."""
+    width = BUCKETS // PARTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                np.add.at(sums, (shingle_set(t.as_py()) % BUCKETS).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.reshape(PARTS, width)], pa.binary())], ["part", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, sums in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found[part] = found.get(part, 0) + np.frombuffer(sums.as_py(), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["part", "sums"])
+
+    schema = "part int, sums binary"
+    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, schema).repartition(min(PARTS, shuffle_partitions(docs.sparkSession)), "part").mapInArrow(add, schema)
+    total = np.zeros((PARTS, width), np.int64)
+    for part, sums in zip(*(c.to_pylist() for c in counted.toArrow().columns), strict=True):
+        total[part] = np.frombuffer(sums, "<i8")
+    return np.minimum(total.reshape(-1), (1 << 31) - 1).astype(np.int32)
+
+
+def prefixes(docs: DataFrame) -> DataFrame:
+    """h, node, n (size of the set), place and hot (maybe in very many sets) of the shingles in the prefix of each set, rarest first."""
+    often = occurrences(docs)
+    hot_from = HOT + 4 * float(often.mean())
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+    kinds = (np.uint64, np.int64, np.int32, np.int32, np.bool_)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, met, found, held = shared.value, set(), [], 0
+
+        def out() -> pa.RecordBatch:
+            h, *others = (np.concatenate([np.zeros(0, k), *x]).astype(k) for k, x in zip(kinds, zip(*found, strict=True) if found else [()] * len(kinds), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, others)], ["h", "node", "n", "place", "hot"])
+
+        for b in batches:
+            for t in b.column(0):
+                own = shingle_set(t.as_py())
+                number = set_id(own)
+                if not len(own) or number in met:
+                    continue
+                if len(met) < 1 << 16:
+                    met.add(number)
+                times = often[(own % BUCKETS).astype(np.int64)]
+                first = np.lexsort((own, times))[: prefix_length(len(own))]
+                k = len(first)
+                found.append((own[first], np.full(k, number), np.full(k, len(own), np.int32), np.arange(k, dtype=np.int32), times[first] > hot_from))
+                held += k
+                if held > ROWS_AT_ONCE:
+                    yield out()
+                    found, held = [], 0
+        yield out()
+
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(compute, "h long, node long, n int, place int, hot boolean")
+
+
+def shared_shingles(docs: DataFrame) -> DataFrame:
+    """The distinct rows of prefixes whose shingle is in another set's prefix too, and all hot ones: h and own (n, place, node)."""
+    rows = prefixes(docs)
+    share = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(64))).otherwise(F.lit(0))
+    dealt = rows.repartition(shuffle_partitions(docs.sparkSession), F.xxhash64("h", share)).sortWithinPartitions("h")
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # a row that the next batch decides about
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = pa.Table.from_batches([last, b] if last is not None else [b]).combine_chunks().to_batches()[0]
+            h = b.column(0).to_numpy()
+            same = h[1:] == h[:-1]
+            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | b.column(4).to_numpy(zero_copy_only=False)
+            # the last row and the one before it go on, so that a kept row is not given twice
+            going = 1 if len(h) < 2 or not same[-1] else 2
+            yield b.slice(0, len(h) - going).filter(pa.array(keep[: len(h) - going]))
+            last = b.slice(len(h) - going)
+        if last is not None:
+            yield last
+
+    kept = dealt.mapInArrow(several, rows.schema)
+    return settle(kept.select("h", F.struct("n", "place", "node").alias("own")), "shared-shingles").distinct()
+
+
+def _possible(a: str, b: str) -> Column:
+    """Whether sets of these sizes, with one shingle at these places of theirs, may be similar enough."""
+    x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
+    p, q = F.col(f"{a}.place"), F.col(f"{b}.place")
+    most = F.least(p, q) + 1 + F.least(x - p, y - q) - 1
+    return most.cast("long") * 1000 >= (x.cast("long") + y - most) * SIMILAR
+
+
+def verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) of sets whose similarity is high enough. ids: set_ids of docs."""
+    pairs = settle(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "pairs")
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    # one text of each set
+    asked = settle(ids.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash")), "asked")
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                b = batch.slice(k, 500)
+                sets = [shingle_set(t.as_py()) for t in b.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "own"])
+
+    texts = docs.select(F.col("text").cast("binary").alias("text")).join(asked.select(F.col("text_hash").alias("asked")), F.xxhash64("text") == F.col("asked"), "left_semi")
+    known = texts.mapInArrow(compute, "node long, own binary")
+    known = settle(known.dropDuplicates(["node"]), "sets")
+    met = pairs.join(known.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(known.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for a, c in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(c.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both * 1000 >= (len(x) + len(y) - both) * SIMILAR)
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return settle(met.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "similar")
+
+
+def similar_links(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges (u, v) that join every two different shingle sets (by number) of enough similarity, maybe by way of others. ids: set_ids of docs."""
+    rows = shared_shingles(docs)
+    drawn = F.struct(F.xxhash64("h", "own.node").alias("draw"), "own")
+    keys = rows.groupBy("h").agg(F.count("*").alias("sets"), F.min("own").alias("least"), F.min(drawn)["own"].alias("drawn")).where("sets > 1")
+    met = settle(rows.join(keys.select("h", "least", "drawn"), "h"), "met-shingles")
+    first = met.where(_possible("own", "least")).select(F.col("own.node").alias("u"), F.col("least.node").alias("v"))
+    first = verified(docs, ids, first.unionByName(met.where(_possible("own", "drawn")).select(F.col("own.node").alias("u"), F.col("drawn.node").alias("v"))))
+    roots = settle(components(first), "roots")
+    tagged = met.select("h", "own").join(roots, F.col("own.node") == roots["node"], "left").select("h", "own", F.coalesce("root", "own.node").alias("root"))
+    several = tagged.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    open_ = settle(tagged.join(several, "h", "left_semi"), "open-shingles")
+    a, b = open_.select("h", F.col("own").alias("one"), F.col("root").alias("r1")), open_.select("h", F.col("own").alias("two"), F.col("root").alias("r2"))
+    rest = a.join(b, "h").where((F.col("r1") < F.col("r2")) & _possible("one", "two")).select(F.col("one.node").alias("u"), F.col("two.node").alias("v"))
+    return first.unionByName(verified(docs, ids, rest))
+
+
+def keep_one_of_similar(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id names their component of similar texts, with all columns.
+
+    A component's name is its smallest doc_id. Of rows that repeat a kept doc_id,
+    the first by text stays. Rows of null id stay only where their whole
+    component has no id: the first by text of each.
+    """
+    session_of(docs)
+    rows = settle(set_ids(docs), "shingle-sets")
+    classes = settle(rows.groupBy("node").agg(F.min("doc_id").alias("first_id")), "classes")
+    roots = components(similar_links(docs, rows))
+    rooted = settle(classes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    kept = named.where("component_id is not null").select(F.col("component_id").alias("kept_id"))
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
+    known = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").withColumn("nth kept", F.row_number().over(first)).where("`nth kept` = 1").drop("nth kept")
+    lone = rooted.join(named.where("component_id is null"), "root").select(F.col("node").alias("lone node"), F.col("root").alias("lone root"))
+    if not lone.take(1):
+        return known
+
+    @F.udf("long")
+    def node_of(text: str | None) -> int:
+        return set_id(shingle_set((text or "").encode("utf-8", "surrogatepass")))
+
+    nameless = docs.where("doc_id is null").withColumn("node of it", node_of("text"))
+    first = Window.partitionBy("lone root").orderBy(F.col("text").asc_nulls_first())
+    rest = nameless.join(lone, nameless["node of it"] == lone["lone node"]).withColumn("nth kept", F.row_number().over(first)).where("`nth kept` = 1")
+    return known.unionByName(rest.select(*docs.columns))

@@ -1,0 +1,81 @@
+from __future__ import annotations
+
+import random
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+import corpus_pipeline
+from skyloom.llm.near_copies import keep_one_of_similar
+
+from .helpers import documents, frame, prose
+
+
+def plain_set(text: str | None) -> frozenset:
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in low.replace("\t", " ").replace("\n", " ").split(" ") if w]
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def plain_components(docs: list[tuple]) -> list[int]:
+    sets = [plain_set(r[1]) for r in docs]
+    label, changed = list(range(len(docs))), True
+    linked = [(i, j) for i in range(len(docs)) for j in range(i) if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    while changed:
+        changed = False
+        for i, j in linked:
+            least = min(label[i], label[j])
+            changed = changed or label[i] != label[j]
+            label[i] = label[j] = least
+    return label
+
+
+def corpus() -> list[tuple]:
+    """Copies with one word in so many changed (above and below 0.8), chains of them, and a passage that many texts hold."""
+    rng = random.Random(9)
+    docs = documents(4)
+    for k in range(12):
+        words = prose(rng, 150).split()
+        for step in range(5):
+            docs.append((1000 + 10 * k + step, " ".join(words), "en", "web", None))
+            for at in rng.sample(range(150), 1 + (k + step) % 6):
+                words[at] = f"new{rng.randrange(10**6)}"
+    passage = prose(rng, 40)
+    docs += [(2000 + k, f"{prose(rng, 5 + k % 9)} {passage}", "en", "web", None) for k in range(60)]
+    return docs
+
+
+def test_every_near_copy_goes(spark):
+    docs = corpus()
+    label = plain_components(docs)
+    names = set()
+    for own in set(label):
+        ids = [r[0] for r, x in zip(docs, label, strict=True) if x == own and r[0] is not None]
+        names |= {min(ids)} if ids else set()
+    df = frame(spark, docs)
+    kept = keep_one_of_similar(df)
+    assert kept.columns == df.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(x for x in ids if x is not None) == sorted(names)
+    assert [r.text for r in kept.where("doc_id is null").collect()] == ["nameless text of its own here"]
+
+
+def test_the_stage_drops_near_copies_far_apart_in_bits(spark):
+    """Similarity over 0.8, but more than 4 bits between the fingerprints."""
+    from skyloom.llm.simhash import fingerprint
+
+    rng = random.Random(3)
+    while True:
+        words = prose(rng, 120).split()
+        other = [*words]
+        other[40], other[80] = "changed", "again"
+        a, b = " ".join(words), " ".join(other)
+        if (fingerprint(a.encode()) ^ fingerprint(b.encode())).bit_count() > 4:
+            break
+    df = frame(spark, [(1, a, "en", "s", None), (2, b, "en", "s", None), (3, prose(rng, 100), "en", "s", None)])
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df, "").collect()) == [1, 3]
+
+
+def test_empty_table(spark):
+    assert keep_one_of_similar(frame(spark, [])).collect() == []
