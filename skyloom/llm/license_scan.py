@@ -106,6 +106,11 @@ TEMPLATES: tuple[Template, ...] = (
     Template("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ("creative", "commons", "attribution-sharealike", "4.0")),
     Template("Unlicense", "This is free and unencumbered software released into the public domain.", ("unencumbered", "public", "domain")),
     Template("Proprietary", "All rights reserved. No part of this work may be reproduced without prior written permission.", ("rights", "reserved", "reproduced")),
+    # of its own name: BSD and other open licenses follow this sentence too
+    Template("All-rights-reserved", "All rights reserved.", ("rights", "reserved")),
+    Template("All-rights-reserved", "Alle Rechte vorbehalten.", ("rechte", "vorbehalten")),
+    Template("All-rights-reserved", "Tous droits réservés.", ("droits", "réservés")),
+    Template("All-rights-reserved", "Todos los derechos reservados.", ("derechos", "reservados")),
 )
 
 

@@ -74,3 +74,20 @@ def test_documents(spark):
     cc = (70, "CC-BY-NC-4.0", 5, 1.0, 2, 29, "Licensed under CC BY-NC 4.0")
     assert found == sorted([cc, cc, (None, "MIT", 5, 1.0, 0, 30, "Released under the MIT License")], key=repr)
     assert scan_licenses(frame(spark, [])).collect() == []
+
+
+def test_lines_that_documents_hold():
+    """The license lines of the test tables, each alone and inside a text."""
+    lines = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "All rights reserved.": "All-rights-reserved",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Released under the MIT License.": "MIT",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    }
+    for line, name in lines.items():
+        assert [x[0] for x in scan(line)] == [name]
+        found = scan(f"one two\n{line}\nthree four")
+        assert [(x[0], x[2], x[3]) for x in found] == [(name, 1.0, 8)]
+    assert scan("reserved are all rights") == []
+    assert [x[0] for x in scan("All rights reserved. No part of this work may be reproduced without prior written permission.")] == ["Proprietary"]
