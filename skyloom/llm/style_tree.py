@@ -66,9 +66,13 @@ BOILERPLATE_WORDS = set(
 #: In an article, its own header is its title.
 NOT_IN_ARTICLE = {"header", "masthead"}
 MAIN = {"article", "main"}
+#: In an article, ids of these are targets of links; only those that name comments are judged.
+TARGETS = set("h1 h2 h3 h4 h5 h6 section p a span li dt dd".split())
+COMMENT_WORDS = {"comment", "comments", "commentlist", "respond", "reply", "replies", "disqus"}
 
 TAG = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>?")
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute with its value, so that a value is never searched for names.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 DIGITS = re.compile(r"\d+")
 WORD = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -77,13 +81,13 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Page:
     """A page's element nodes in document order and its texts.
 
-    parent, tag, path, named (words of class, id and role), hidden: a value for
-    each node; node 0 is the page. pieces: (node, text), a text of one space
+    parent, tag, path, named (words of class and role), by_id (words of the id),
+    hidden: a value for each node; node 0 is the page. pieces: (node, text), a text of one space
     where a block begins or ends.
     """
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.path, self.named, self.hidden = [0], [""], [""], [frozenset()], [False]
+        self.parent, self.tag, self.path, self.named, self.by_id, self.hidden = [0], [""], [""], [frozenset()], [frozenset()], [False]
         self.pieces: list[tuple[int, str]] = []
         self._read(html)
 
@@ -120,7 +124,7 @@ class Page:
             if name in CLOSES:
                 self._close(stack, *CLOSES[name])
             attributes = m[3] if m[3] is not None else m[6]
-            named, hidden, style = self._attributes(attributes) if attributes and len(attributes) > 2 else (frozenset(), False, "")
+            named, by_id, hidden, style = self._attributes(attributes) if attributes and len(attributes) > 2 else (frozenset(), frozenset(), False, "")
             if name in BLOCK:
                 pieces.append((stack[-1], " "))
             if name in VOID:
@@ -130,6 +134,7 @@ class Page:
             tags.append(name)
             paths.append(f"{paths[stack[-1]]}/{name}{style}")
             self.named.append(named)
+            self.by_id.append(by_id)
             self.hidden.append(hidden)
             if name in RAW:
                 if not attributes.rstrip().endswith("/"):
@@ -152,31 +157,35 @@ class Page:
                 return
 
     @staticmethod
-    def _attributes(source: str) -> tuple[frozenset, bool, str]:
-        words: set[str] = set()
-        hidden, style = False, ""
+    def _attributes(source: str) -> tuple[frozenset, frozenset, bool, str]:
+        words: dict[str, set[str]] = {"class": set(), "id": set(), "role": set()}
+        hidden, style, met = False, "", set()
         for key, a, b, c in ATTRIBUTE.findall(source):
             key, value = key.lower(), a or b or c
+            if key in met:
+                continue  # the first of a name counts
+            met.add(key)
             if key in ("hidden", "aria-hidden"):
                 hidden = hidden or key == "hidden" and value.lower() not in ("false", "until-found") or value.lower() == "true"
-                continue
-            words.update(w.lower() for w in WORD.findall(CAMEL.sub(" ", value)))
-            if key != "role":
-                style += ("." if key == "class" else "#") + DIGITS.sub("0", " ".join(sorted(value.split())))
-        return frozenset(words), hidden, style
+            elif key in words:
+                words[key].update(w.lower() for w in WORD.findall(CAMEL.sub(" ", value)))
+                if key != "role":
+                    style += ("." if key == "class" else "#") + DIGITS.sub("0", " ".join(sorted(value.split())))
+        return frozenset(words["class"] | words["role"]), frozenset(words["id"]), hidden, style
 
     def judged(self, low: frozenset[str] | set[str] = frozenset()) -> tuple[list[bool], list[bool], list[bool]]:
         """For each node: it is in the article, it goes, its fate depends on the style tree. low: paths of low importance."""
         n = len(self.tag)
         holds_main = [False] * n
         for i in range(n - 1, 0, -1):
-            if self.tag[i] in MAIN and not self.named[i] & BOILERPLATE_WORDS - NOT_IN_ARTICLE or holds_main[i]:
+            if self.tag[i] in MAIN and not (self.named[i] | self.by_id[i]) & BOILERPLATE_WORDS - NOT_IN_ARTICLE or holds_main[i]:
                 holds_main[self.parent[i]] = True
         share = self._shares() if low else None
         inside, gone, open_ = [False] * n, [False] * n, [False] * n
         for i in range(1, n):
             p, tag = self.parent[i], self.tag[i]
-            words = self.named[i] & BOILERPLATE_WORDS
+            ids = self.by_id[i] & COMMENT_WORDS if inside[p] and tag in TARGETS else self.by_id[i]
+            words = (self.named[i] | ids) & BOILERPLATE_WORDS
             within = inside[p] or tag in MAIN
             if inside[p]:
                 words = words - NOT_IN_ARTICLE

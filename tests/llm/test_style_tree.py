@@ -81,3 +81,17 @@ def test_query_against_a_plain_reading(spark):
         body = source[r.page_id].split("<article>")[1].split("</article>")[0]
         plain = " ".join(html.unescape(re.sub(r"</?(?:p|h1|br)\b[^>]*>", " ", body).replace("<b>", "").replace("</b>", "")).split())
         assert (r.text, r.n_chars) == (plain, len(plain))
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ('<article style="overflow:hidden"><p>kept</p></article>', "kept"),
+        ('<p>a <a href="/hidden-valley">link</a> <b title="The hidden truth" data-class="ad">bold</b></p>', "a link bold"),
+        ("<p>kept</p><div data-x='a' hidden>no</div><div hidden=''>no</div><div HIDDEN=hidden>no</div><div aria-hidden=true>no</div>", "kept"),
+        ('<div title="id=comments class=ad">kept</div><div title=x class=ad>no</div>', "kept"),
+        ('<article><h2 id="related-work">Related</h2><section id="search"><p>how to search</p></section><div id="newsletter">no</div></article>', "Related how to search"),
+    ],
+)
+def test_values_are_not_names(source, text):
+    assert Page(source).text() == text
