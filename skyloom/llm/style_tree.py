@@ -10,9 +10,10 @@ content importance that of its texts; a menu that all pages share has both near
 
 where a menu of changing words would still look like content. So the markup's own
 word comes first: branches that name themselves as menus, headers, footers,
-adverts, forms, comments and so on go, those of an article or main element stay.
-The tree decides about all others: below the threshold they go, unless they hold
-most of a page's text. A page whose text is all in an article does not depend on it.
+adverts, forms, comments and so on go. The tree decides about all others, in an
+article or main element and outside of it: below the threshold they go, unless
+they hold most of a page's text. The mark of an article raises the importance of
+its branches, so they go below a lower threshold only.
 
 Statistics are sums over (host, path, hash) with a map-side count, so a host of
 any size is never gathered in one place; a page meets the low nodes of its own
@@ -24,7 +25,8 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from types import MappingProxyType
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import session_of
 
 THRESHOLD = 0.3
+#: Importance of branches of an article counts so many times.
+ARTICLE_WEIGHT = 2.0
 GAMMA = 0.9
 #: A node on fewer pages of its host has importance 1: there is nothing to compare.
 LEAST_PAGES = 3
@@ -173,15 +177,20 @@ class Page:
                     style += ("." if key == "class" else "#") + DIGITS.sub("0", " ".join(sorted(value.split())))
         return frozenset(words["class"] | words["role"]), frozenset(words["id"]), hidden, style
 
-    def judged(self, low: frozenset[str] | set[str] = frozenset()) -> tuple[list[bool], list[bool], list[bool]]:
-        """For each node: it is in the article, it goes, its fate depends on the style tree. low: paths of low importance."""
+    def judged(self, low: Mapping[str, tuple[float, float]] = MappingProxyType({}), threshold: float = THRESHOLD) -> tuple[list[bool], list[bool], list[bool]]:
+        """For each node: it is in an article, it goes, its fate depends on the style tree.
+
+        low: importance and content importance of the paths below the threshold.
+        Where a kept branch is the same on most pages as a whole, what is in it
+        tells nothing apart and stays with it.
+        """
         n = len(self.tag)
         holds_main = [False] * n
         for i in range(n - 1, 0, -1):
             if self.tag[i] in MAIN and not (self.named[i] | self.by_id[i]) & BOILERPLATE_WORDS - NOT_IN_ARTICLE or holds_main[i]:
                 holds_main[self.parent[i]] = True
         share = self._shares() if low else None
-        inside, gone, open_ = [False] * n, [False] * n, [False] * n
+        inside, gone, open_, held = [False] * n, [False] * n, [False] * n, [False] * n
         for i in range(1, n):
             p, tag = self.parent[i], self.tag[i]
             ids = self.by_id[i] & COMMENT_WORDS if inside[p] and tag in TARGETS else self.by_id[i]
@@ -193,9 +202,13 @@ class Page:
             if holds_main[i] and tag not in ("head", "script", "style"):
                 own = False
             inside[i] = within and not (own or gone[p])
-            open_[i] = not (gone[p] or own or within or holds_main[i] or tag in ("html", "body"))
-            if open_[i] and share is not None and self.path[i] in low and share[i] <= 0.5:
-                own = True
+            open_[i] = not (gone[p] or own or tag in ("html", "body"))
+            held[i] = held[p]
+            if open_[i] and share is not None and not held[i] and self.path[i] in low:
+                importance, content = low[self.path[i]]
+                if importance * (ARTICLE_WEIGHT if within or holds_main[i] else 1.0) < threshold:
+                    own = share[i] <= 0.5
+                    held[i] = not own and content < threshold
             gone[i] = gone[p] or own
         return inside, gone, open_
 
@@ -208,13 +221,9 @@ class Page:
             size[self.parent[i]] += size[i] if self.tag[i] not in NEVER_TEXT else 0
         return [x / max(1, size[0]) for x in size]
 
-    def text(self, low: frozenset[str] | set[str] = frozenset()) -> str:
-        """The main text: the article's where there is one, else all that stays; runs of white space are one space."""
-        inside, gone, _ = self.judged(low)
-        article = "".join(t for node, t in self.pieces if t == " " or inside[node] and not gone[node])
-        found = " ".join(article.split())
-        if found:
-            return found
+    def text(self, low: Mapping[str, tuple[float, float]] = MappingProxyType({}), threshold: float = THRESHOLD) -> str:
+        """The main text: all that stays; runs of white space are one space."""
+        gone = self.judged(low, threshold)[1]
         return " ".join("".join(t for node, t in self.pieces if t == " " or not gone[node]).split())
 
     def branches(self) -> dict[str, tuple[str, str, int]]:
@@ -296,7 +305,7 @@ def extract_text(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     session_of(pages)
     rows = hosted(pages)
-    low = style_tree(pages).where(F.col("importance") < threshold).select("host", "path")
+    low = style_tree(pages).where(F.col("importance") < threshold).select("host", "path", F.struct("path", "importance", "content").alias("node"))
 
     def open_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -311,11 +320,11 @@ def extract_text(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     asked = rows.select("ref", "host", "html").mapInArrow(open_paths, "ref long, host string, path string")
     # at most the paths of one page
-    found = asked.join(low, ["host", "path"]).groupBy("ref").agg(F.collect_set("path").alias("low"))
+    found = asked.join(low, ["host", "path"]).groupBy("ref").agg(F.collect_set("node").alias("low"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [Page(html.as_py()).text(frozenset(paths or ())) for html, paths in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
+            texts = [Page(html.as_py()).text({x["path"]: (x["importance"], x["content"]) for x in nodes or ()}, threshold) for html, nodes in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     met = rows.join(found, "ref", "left").select("page_id", "url", "html", "low")

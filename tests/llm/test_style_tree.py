@@ -95,3 +95,25 @@ def test_query_against_a_plain_reading(spark):
 )
 def test_values_are_not_names(source, text):
     assert Page(source).text() == text
+
+
+def extracted(spark, bodies: list[str]) -> list[str]:
+    pages = spark.createDataFrame([(k, "http://h.example/", f"<body>{x}</body>") for k, x in enumerate(bodies)], PAGES)
+    return [r.text for r in extract_text(pages).orderBy("page_id").collect()]
+
+
+def test_text_beside_an_article_stays(spark):
+    own = [f"Lead {'long ' * k}and text of number {k}." for k in range(6)]
+    found = extracted(spark, [f"<div class=lead><p>{x}</p></div><article><p>card {k}</p></article>" for k, x in enumerate(own)])
+    assert found == [f"{x} card {k}" for k, x in enumerate(own)]
+
+
+def test_what_repeats_inside_articles_goes(spark):
+    box = "<div class=box><p>Join our readers today</p></div>"
+    own = [f"Text {'long ' * (k + 3)}of number {k}." for k in range(6)]
+    assert extracted(spark, [f"<article><h1>T {k}</h1><p>{x}</p>{box}</article>" for k, x in enumerate(own)]) == [f"T {k} {x}" for k, x in enumerate(own)]
+
+
+def test_copies_of_an_article_stay_whole(spark):
+    page = "<article><h1>Title</h1><p>one two</p><ul><li>three</ul><p>four</p></article>"
+    assert set(extracted(spark, [page] * 5)) == {"Title one two three four"}
