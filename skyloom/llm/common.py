@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.common import session_of, shared_folder
 from ..operators.common import settled as settle
-from ..operators.common import shared_folder
 
 __all__ = ["session_of", "settle", "shared_folder", "shuffle_partitions", "table", "work_path"]
 
-ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def session_of(df: DataFrame) -> SparkSession:
-    """The session, after making sure that Python workers can import this package.
-
-    Workers get the repository's folder on their path. On a cluster without a
-    shared home, ship the package with --py-files instead.
-    """
-    spark = df.sparkSession
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-    env.setdefault("TOKENIZERS_PARALLELISM", "false")
-    env.setdefault("OMP_NUM_THREADS", "1")
-    return spark
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
