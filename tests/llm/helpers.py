@@ -46,7 +46,7 @@ def frame(spark, rows, extra: bool = False):
     if extra:
         from pyspark.sql import functions as F
 
-        clashing = "shard size slot law range cell key fingerprint component_id fp u v root node domain copies tokens rows budget rest draw hash_range word n score start n_tokens lang_pred item_id license h path host low text_hash".split()
+        clashing = "shard size slot law range cell key fingerprint component_id fp u v node domain copies tokens rows budget rest draw hash_range word n score start n_tokens lang_pred item_id license h path host low text_hash record by nth times kept odd again root its group part other own bands its_language nth_kept mix_copies shard_no slot_no".split()
         df = df.withColumns({c: F.lit("clash") for c in clashing})
     return df
 

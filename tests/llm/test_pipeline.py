@@ -12,7 +12,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline
-from skyloom.llm.simhash import near_duplicates
+from skyloom.llm.simhash import similar_components
 
 from .helpers import documents, frame, prose
 from .test_decontaminate import plain as leaks
@@ -48,7 +48,7 @@ def test_stages(spark, tables):
     assert sorted(kept, key=repr) == sorted((r for r in docs if r[1] and any(map(str.isalpha, r[1])) and r in kept), key=repr)
 
     second = steps["near_duplicates"](spark, frame(spark, kept), folder)
-    names = {r.component_id for r in near_duplicates(frame(spark, kept)).collect() if r.component_id is not None}
+    names = {r.component_id for r in similar_components(frame(spark, kept)).collect() if r.component_id is not None}
     once = plain_rows(second)
     assert sorted(r[0] for r in once if r[0] is not None) == sorted(names)
 

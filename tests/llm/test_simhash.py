@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from skyloom.llm import simhash
-from skyloom.llm.simhash import components, fingerprint, fingerprint_links, keep_one_of_each, near_duplicates, part_masks, parts_for
+from skyloom.llm.simhash import components, fingerprint, fingerprint_links, near_duplicates, part_masks, parts_for
 
 from .helpers import documents, frame, prose
 
@@ -53,9 +53,10 @@ def test_every_near_pair_shares_a_part(m, radius):
     assert parts_for(10, 4) == 5 and parts_for(10**9, 4) > 5
 
 
-@pytest.mark.parametrize("tile", [2048, 16])
-def test_components_of_links(spark, monkeypatch, tile):
-    """Chains, dense groups (more than a tile) and lone fingerprints."""
+@pytest.mark.parametrize(("group", "tile"), [(2048, 256), (16, 256), (2048, 8), (16, 3)])
+def test_components_of_links(spark, monkeypatch, group, tile):
+    """Chains, dense groups (more than a tile, more than a group) and lone fingerprints."""
+    monkeypatch.setattr(simhash, "GROUP", group)
     monkeypatch.setattr(simhash, "TILE", tile)
     rng = random.Random(5)
     values = [rng.getrandbits(64) for _ in range(150)]
@@ -91,17 +92,41 @@ def test_documents(spark):
     assert found == sorted(expected, key=repr)
 
 
-def test_one_of_each_stays(spark):
-    docs = documents()
-    df = frame(spark, docs)
-    kept = keep_one_of_each(df)
-    assert kept.columns == df.columns
-    ids = [r.doc_id for r in kept.collect()]
-    names = {r.component_id for r in near_duplicates(df).collect() if r.component_id is not None}
-    assert sorted(x for x in ids if x is not None) == sorted(names)
-    assert [r.text for r in kept.where("doc_id is null").collect()] == ["nameless text of its own here"]
+def test_tiles_find_every_link_and_skip_far_counts(monkeypatch):
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 1 << 64, 600, np.uint64) & rng.integers(0, 1 << 64, 600, np.uint64)
+    fps[::3] = fps[1::3] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
+    fps[:50] = 0xFFFFFFFFFFFFFFFF
+    group = rng.integers(0, 4, 600)
+    order = np.lexsort((np.bitwise_count(fps), group))
+    group, fps = group[order], fps[order]
+    every = {(i, j) for i in range(600) for j in range(i + 1, 600) if group[i] == group[j] and int(fps[i] ^ fps[j]).bit_count() <= 4}
+    monkeypatch.setattr(simhash, "TILE", 16)
+    met, count = [], np.bitwise_count
+
+    def counted(x):
+        met.append(x.ndim)
+        return count(x)
+
+    monkeypatch.setattr(np, "bitwise_count", counted)
+    i, j = simhash.tile_links(group, fps, 4)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == every and every
+    pairs = sum(n == 2 for n in met)
+    assert 38 <= pairs < 38 * 39 // 2 // 4  # of all tile pairs
+
+
+def test_groups_are_never_cut():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    keys = sorted(rng.randrange(30) for _ in range(200))
+    batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(range(200), pa.int64())], ["group", "x"])
+    for width in (1, 7, 64, 500):
+        out = list(simhash.whole_groups(batch.slice(k, width) for k in range(0, 200, width)))
+        assert [x for b in out for x in b.column(1).to_pylist()] == list(range(200))
+        seen = [set(b.column(0).to_pylist()) for b in out]
+        assert sum(map(len, seen)) == len(set(keys))
 
 
 def test_empty_table(spark):
     assert near_duplicates(frame(spark, [])).collect() == []
-    assert keep_one_of_each(frame(spark, [])).collect() == []

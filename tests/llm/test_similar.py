@@ -1,13 +1,17 @@
 from __future__ import annotations
 
+import os
 import random
 import sys
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
+import pytest
+
 import corpus_pipeline
-from skyloom.llm.near_copies import keep_one_of_similar
+from skyloom.llm import simhash
+from skyloom.llm.simhash import keep_one_of_similar, similar_components
 
 from .helpers import documents, frame, prose
 
@@ -46,14 +50,19 @@ def corpus() -> list[tuple]:
     return docs
 
 
-def test_every_near_copy_goes(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_every_near_copy_goes(spark, monkeypatch, small):
+    """small: groups, parts and broadcasts of few rows, so that every way for more is taken."""
+    if small:
+        for name, n in (("GROUP", 8), ("TILE", 4), ("VERIFIED_SETS", 5), ("BROADCAST_IDS", 3)):
+            monkeypatch.setattr(simhash, name, n)
     docs = corpus()
     label = plain_components(docs)
     names = set()
     for own in set(label):
         ids = [r[0] for r, x in zip(docs, label, strict=True) if x == own and r[0] is not None]
         names |= {min(ids)} if ids else set()
-    df = frame(spark, docs)
+    df = frame(spark, docs, extra=True)
     kept = keep_one_of_similar(df)
     assert kept.columns == df.columns
     ids = [r.doc_id for r in kept.collect()]
@@ -79,3 +88,43 @@ def test_the_stage_drops_near_copies_far_apart_in_bits(spark):
 
 def test_empty_table(spark):
     assert keep_one_of_similar(frame(spark, [])).collect() == []
+
+
+def test_repeated_ids_and_rows(spark):
+    rng = random.Random(1)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(5, b, "en", "s", None), (5, a, "en", "s", None), (5, a, "en", "s", None), (6, a, "en", "s", None), (7, c, "en", "s", None), (None, c, "en", "s", None)]
+    kept = sorted((r.doc_id, r.text) for r in keep_one_of_similar(frame(spark, rows)).collect())
+    assert kept == [(5, min(a, b)), (7, c)]
+
+
+def test_against_all_pairs_of_the_test_table(spark):
+    """Every two texts with a similarity of 0.8 are joined, and no others."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    df = spark.read.parquet(path)
+    docs = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    sets = [plain_set(t) for _, t in docs]
+    by = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            by.setdefault(x, []).append(k)
+    label = list(range(len(docs)))
+
+    def top(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    empty = [k for k, s in enumerate(sets) if not s]
+    pairs = {(i, j) for own in by.values() for i in own for j in own if i < j} | set(zip(empty, empty[1:], strict=False))
+    for i, j in pairs:
+        if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+            i, j = top(i), top(j)
+            label[max(i, j)] = min(i, j)
+    named = {}
+    for k, (doc_id, _) in enumerate(docs):
+        named.setdefault(top(k), []).append(doc_id)
+    expected = {d: min(own) for own in named.values() for d in own}
+    assert {r.doc_id: r.component_id for r in similar_components(df).collect()} == expected
