@@ -49,6 +49,8 @@ WIDE_RADIUS = 20
 BANDS = 12
 #: Sets and their shingles that are verified in one group (twice as many, as a pair of parts).
 VERIFIED_SETS, VERIFIED_SHINGLES = 512, 500_000
+#: Parts in which the edges of one node are dealt out.
+SALTS = 64
 #: Ids that are broadcast at most, behind a count.
 BROADCAST_IDS = 1_000_000
 
@@ -215,6 +217,14 @@ def _signed(mask: int) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with the least v of each u as m. The edges of a node of very many meet it in SALTS parts."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"))
+    return salted.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) of every node that has an edge (u, v).
 
@@ -228,12 +238,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     mark = seen(edges)
     while mark[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
+        both = _with_least(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
+        small = _with_least(large).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         edges = settle(small.where("u <> v").distinct(), "edges")
         before, mark = mark, seen(edges)
         if mark == before:
