@@ -157,7 +157,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        first = b.column(0).to_numpy()
+        first = b.column(0).to_numpy(zero_copy_only=False)
         cut = int(np.searchsorted(first == first[-1], True))  # the last group may go on
         if held and (cut or held[-1].column(0)[-1].as_py() != first[0]):
             yield pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks().to_batches()[0]

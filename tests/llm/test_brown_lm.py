@@ -45,11 +45,11 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-@pytest.mark.parametrize("broadcast", [1 << 18, 5])
-def test_base_scores(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(brown_lm, "BROADCAST_WORDS", broadcast)
+@pytest.mark.parametrize("frequent", [65_534, 5])
+def test_base_scores(spark, monkeypatch, frequent):
+    monkeypatch.setattr(brown_lm, "FREQUENT", frequent)
     monkeypatch.setattr(brown_lm, "COUNTED_AT_ONCE", 20)
-    docs = documents()
+    docs = [*documents(), (90, prose(random.Random(1), 30_000), "en", "s", None)]
     counts: Counter = Counter()
     for r in docs:
         if not held_out(r[0]):
@@ -65,44 +65,93 @@ def test_base_scores(spark, monkeypatch, broadcast):
     assert all(r.score < 0 for r in found)
 
 
-@pytest.mark.parametrize("broadcast", [1 << 18, 40])
-def test_scores_are_those_of_the_model(spark, monkeypatch, broadcast):
-    """Against a plain walk over each text with the whole table of counts."""
-    monkeypatch.setattr(brown_lm, "BROADCAST_WORDS", broadcast)
+def plain_tables(model):
+    """Place, count and class of every word of training."""
+    table = {w: (int(model.counts[i]), int(model.classes[i])) for w, i in model.words.items()}
+    return table | {bytes(r.word): (r.n, r["class"]) for r in model.rare.collect()}
+
+
+@pytest.mark.parametrize("frequent", [65_534, 40, 0])
+def test_scores_are_those_of_the_model(spark, monkeypatch, frequent):
+    """Against a plain walk over each text; the model's own counts against those of the texts."""
+    monkeypatch.setattr(brown_lm, "FREQUENT", frequent)
+    monkeypatch.setattr(brown_lm, "HEAD", 25)
     docs = documents()
     df = frame(spark, docs)
-    model, table = train_model(df)
-    counts = {bytes(r.word): r.n for r in table.collect()}
+    model = train_model(df)
+    table, k = plain_tables(model), model.k
+    counts, histories, once = Counter(), Counter(), Counter()
+
+    def history(w) -> int:
+        return k + 1 if not w else int(model.classes[model.words[w]]) if w in model.words else k
+
+    for r in docs:
+        if not held_out(r[0]):
+            tokens = words_of((r[1] or "").encode())
+            counts.update(tokens)
+    for r in docs:
+        if not held_out(r[0]):
+            tokens = [b"", *words_of((r[1] or "").encode()), b""]
+            for a, b in zip(tokens, tokens[1:], strict=False):
+                histories[history(a), table[b][1] if b else k] += 1
+                once[history(a)] += counts[b] == 1 if b else 0
+    assert {w: n for w, (n, _) in table.items()} == counts
+    held = np.zeros((k + 2, k + 1))
+    for (h, c), n in histories.items():
+        held[h, c] = n
+    overall = (held.sum(0) + 1e-3) / (held.sum() + 1e-3 * (k + 1))
+    unknown = np.array([(once[h] + 20 * (sum(once.values()) + 1) / (held.sum() + 2)) / (held[h].sum() + 20) for h in range(k + 2)])
+    following = (held + 20 * overall) / (held.sum(1, keepdims=True) + 20) * (1 - unknown)[:, None]
+    mass = held[:, :k].sum(0)
 
     def plain(text) -> float:
-        total, before = 0.0, brown_lm.CLASSES
+        total, before = 0.0, b""
         for w in [*words_of((text or "").encode()), b""]:
-            place = model.words.get(w, brown_lm.HEAD)
-            unit = brown_lm.END_UNIT if not w else place if place < brown_lm.HEAD else brown_lm.ending_unit(w)
-            c = model.unit_class[unit]
-            share = counts[w] / (model.mass[c] + model.types[c]) if w in counts else 10 ** model.unseen()[c]
-            total += model.transition[before, c] + np.log10(share)
-            before = c
+            h = history(before)
+            if not w:
+                total += np.log10(following[h, k])
+            elif w in table:
+                n, c = table[w]
+                total += np.log10(following[h, c] * n / mass[c])
+            else:
+                total += np.log10(unknown[h])
+            before = w
         return total
 
     found = sorted((repr(r.doc_id), r.n_tokens, round(r.score, 6)) for r in score_texts(df).collect())
     assert found == sorted((repr(r[0]), len(words_of((r[1] or "").encode())) + 1, round(float(plain(r[1])), 6)) for r in docs)
 
 
-def test_probabilities_sum_to_one(spark):
+@pytest.mark.parametrize("frequent", [65_534, 30])
+def test_probabilities_sum_to_one(spark, monkeypatch, frequent):
+    """Over all words of training, the end and the unknown word, after every history."""
+    monkeypatch.setattr(brown_lm, "FREQUENT", frequent)
     rng = random.Random(3)
     docs = [(k, prose(rng, 50), "en", "s", None) for k in range(60)]
-    model, counts = train_model(frame(spark, docs))
-    assert np.allclose((10.0**model.transition).sum(1), 1)
-    words = [(bytes(r.word), r.n) for r in counts.collect()]
-    total = np.zeros(brown_lm.CLASSES + 1)
-    for w, n in words:
-        unit = model.words.get(w, -1)
-        unit = brown_lm.END_UNIT if not w else unit if 0 <= unit < brown_lm.HEAD else brown_lm.ending_unit(w)
-        c = model.unit_class[unit]
-        total[c] += 10 ** model.emission(np.array([n]), np.array([c]))[0]
-    seen = model.types > 0
-    assert np.allclose(total[seen] + 10 ** model.unseen()[seen], 1)
+    model = train_model(frame(spark, docs))
+    table = plain_tables(model)
+    total = 10.0**model.unknown + 10.0 ** model.transition[:, model.k]
+    for n, c in table.values():
+        total = total + 10.0 ** model.transition[:, c] * n / model.mass[c]
+    assert np.allclose(total, 1) and model.train_types == len(table) + 1
+
+
+@pytest.mark.parametrize("frequent", [65_534, 60])
+def test_all_words_are_clustered_by_their_neighbours(spark, monkeypatch, frequent):
+    """Words of two kinds that alternate: the kinds share no class, however rare a word is."""
+    monkeypatch.setattr(brown_lm, "FREQUENT", frequent)
+    monkeypatch.setattr(brown_lm, "HEAD", 20)
+    monkeypatch.setattr(brown_lm, "LEAST_CLASSES", 4)
+    monkeypatch.setattr(brown_lm, "MOST_CLASSES", 4)
+    rng = random.Random(8)
+    draw = lambda kind: f"{kind}{int(200 * rng.random() ** 3)}"
+    docs = [(k, " ".join(draw("ab"[(i + k) % 2]) for i in range(200)), "en", "s", None) for k in range(100)]
+    model = train_model(frame(spark, docs))
+    table = plain_tables(model)
+    right = Counter()
+    for w, (n, c) in table.items():
+        right[c, w[:1]] += n
+    assert sum(max(right[c, b"a"], right[c, b"b"]) for c in range(4)) > 0.99 * sum(right.values())
 
 
 def test_held_out_texts_score_above_the_base(spark):
