@@ -110,3 +110,10 @@ def test_recall_on_the_test_tables(spark):
     for r in QUERIES["op9_permutation_index"](spark, "/root/testdata/sf0.1").collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert sum(len(got[q] & {x for x, _ in v}) for q, v in expected.items()) >= 0.9 * 20 * len(expected)
+
+
+def test_what_is_visited_grows_less_than_the_table():
+    for few, many in ((2 * 10**5, 2 * 10**7), (10**6, 10**8)):
+        postings = [p.POSTED * n * p.visited_for(n) / p.pivots_for(n) for n in (few, many)]
+        assert postings[1] < 50 * postings[0] and p.reranked_for(many) <= 10.1 * p.reranked_for(few)
+    assert p.reranked_for(51_282) < 0.05 * 51_282
