@@ -3,8 +3,8 @@
 Counts come from all labelled training texts: each task adds up a matrix of
 languages by hash buckets and one sum over tasks gives the whole, whose size
 depends on the number of languages and buckets alone. The matrix of log
-probabilities (float32) is broadcast; texts are scored in batches, one row of
-bucket counts at a time.
+probabilities (float32) is broadcast; the bucket counts of a batch of texts are
+the rows of a sparse matrix, which is multiplied with it.
 """
 
 from __future__ import annotations
@@ -26,33 +26,19 @@ ORDERS = (1, 2, 3)
 #: Added to each bucket's count.
 ALPHA = 0.5
 UNDETERMINED = "und"
-#: Characters that are hashed at once; longer texts are summed up piece by piece.
+#: Characters that are hashed at once: of several texts, or of a piece of a longer one.
 PIECE = 1 << 18
+SPACE = 32
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def ngram_buckets(text: str) -> np.ndarray:
-    """Buckets of a text's n-grams of letters, words padded by one space on both sides; all else counts as a space."""
-    low = text.lower()
-    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
-    letters = _letters(low, codes)
-    kept = np.where(letters, codes, 32).astype(np.uint64)
-    kept = np.concatenate([[np.uint64(32)], kept, [np.uint64(32)]])
-    blank = kept == 32
-    keep = ~(blank & np.concatenate([[False], blank[:-1]]))  # runs of other characters become one space
-    kept = kept[keep]
-    out = []
-    for n in ORDERS:
-        if len(kept) < n:
-            continue
-        value = np.zeros(len(kept) - n + 1, np.uint64)
-        for k in range(n):
-            value = (value ^ kept[k : len(kept) - n + 1 + k]) * np.uint64(_MULTIPLIERS[k])
-        if n == 1:
-            value = value[kept != 32]
-        value ^= value >> np.uint64(29)
-        out.append((value * np.uint64(_MULTIPLIERS[n % 3]) >> np.uint64(64 - 15)).astype(np.int64))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+def hashed_ngrams(kept: np.ndarray, n: int) -> np.ndarray:
+    """Buckets of the n-grams of codes that begin at each place."""
+    value = np.zeros(max(0, len(kept) - n + 1), np.uint64)
+    for k in range(n):
+        value = (value ^ kept[k : len(kept) - n + 1 + k]) * np.uint64(_MULTIPLIERS[k])
+    value ^= value >> np.uint64(29)
+    return (value * np.uint64(_MULTIPLIERS[n % 3]) >> np.uint64(64 - 15)).astype(np.int64)
 
 
 _ALPHA_TABLE = np.zeros(0x110000, np.int8)  # 0: not asked yet, 1: letter, 2: other
@@ -67,13 +53,83 @@ def _letters(text: str, codes: np.ndarray) -> np.ndarray:
     return state == 1
 
 
-def bucket_counts(text: str) -> np.ndarray:
+def _single_spaces(codes: np.ndarray) -> np.ndarray:
+    """codes with runs of spaces as one."""
+    blank = codes == SPACE
+    return codes[~(blank & np.concatenate([[False], blank[:-1]]))]
+
+
+def ngrams_of_many(lows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of every n-gram of lower-cased texts: of letters, words padded by one space on both sides; all else counts as a space."""
+    joined = " " + " \0 ".join(t.replace("\0", " ") if "\0" in t else t for t in lows) + " "
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kept = _single_spaces(np.where(_letters(joined, codes), codes, np.where(codes == 0, 0, SPACE)).astype(np.uint64))
+    row = np.cumsum(kept == 0)
+    rows, buckets = [], []
+    for n in ORDERS:
+        if len(kept) < n:
+            continue
+        own = kept[: len(kept) - n + 1] != (SPACE if n == 1 else 0)
+        for k in range(n):
+            own &= kept[k : len(kept) - n + 1 + k] != 0  # none lies in two texts
+        rows.append(row[: len(own)][own])
+        buckets.append(hashed_ngrams(kept, n)[own])
+    return np.concatenate(rows), np.concatenate(buckets)
+
+
+def counts_of_long(low: str) -> np.ndarray:
+    """Bucket counts of one lower-cased text, piece by piece: the last codes of a piece go on to the next, so that each n-gram counts once."""
     counts = np.zeros(BUCKETS, np.int64)
-    for k in range(0, len(text), PIECE):
-        counts += np.bincount(ngram_buckets(text[k : k + PIECE]), minlength=BUCKETS)
+    carry = np.array([SPACE], np.uint64)
+    for k in range(0, len(low), PIECE):
+        piece = low[k : k + PIECE]
+        codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
+        new = np.where(_letters(piece, codes), codes, SPACE).astype(np.uint64)
+        if k + PIECE >= len(low):
+            new = np.append(new, np.uint64(SPACE))
+        held = len(carry)
+        kept = _single_spaces(np.concatenate([carry, new]))  # the carry has no runs, so its codes stay in place
+        for n in ORDERS:
+            first = max(0, held - n + 1)
+            if k == 0:
+                first = 0
+            found = hashed_ngrams(kept[first:], n)
+            if n == 1:
+                found = found[kept[first:] != SPACE]
+            counts += np.bincount(found, minlength=BUCKETS)
+        carry = kept[-(max(ORDERS) - 1) :]
     return counts
 
 
+def sparse_counts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bucket counts of texts as sparse rows, some texts at a time: their numbers, then starts, buckets (ascending in a row) and counts."""
+    group: list[int] = []
+    lows: list[str] = []
+    held = 0
+
+    def out() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        row, bucket = ngrams_of_many(lows)
+        cell, counts = np.unique(row * BUCKETS + bucket, return_counts=True)
+        starts = np.searchsorted(cell, np.arange(len(lows) + 1) * BUCKETS)
+        return np.array(group), starts, cell % BUCKETS, counts
+
+    for i, text in enumerate(texts):
+        low = (text or "").lower()
+        if len(low) > PIECE:
+            counts = counts_of_long(low)
+            at = np.flatnonzero(counts)
+            yield np.array([i]), np.array([0, len(at)]), at, counts[at]
+            continue
+        if held + len(low) > PIECE and group:
+            yield out()
+            group, lows, held = [], [], 0
+        group.append(i)
+        lows.append(low)
+        held += len(low)
+    if group:
+        yield out()
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """langs in order; log_prob: float32, a row for each language; log_prior: the share of training texts."""
@@ -82,19 +138,22 @@ class LanguageModel:
     log_prob: np.ndarray
     log_prior: np.ndarray
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its posterior; ties go to the first name. No letter: und, 0."""
-        if not text or not self.langs or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0
-        total = self.log_prior.copy()
-        for k in range(0, len(text), PIECE):
-            found = ngram_buckets(text[k : k + PIECE])
-            if len(found) < BUCKETS // 8:
-                total += self.log_prob[:, found].sum(1, dtype=np.float64)
-            else:
-                total += self.log_prob @ np.bincount(found, minlength=BUCKETS).astype(np.float64)
-        best = int(np.argmax(total))
-        return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The likeliest language of each text and its posterior; ties go to the first name. No letter: und, 0."""
+        names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        if not self.langs:
+            return names, scores
+        for group, starts, buckets, counts in sparse_counts(texts):
+            some = np.flatnonzero(np.diff(starts))
+            if not len(some):
+                continue
+            # the rows of the sparse matrix times the matrix of log probabilities
+            total = np.add.reduceat(self.log_prob[:, buckets] * counts.astype(np.float64), starts[some], axis=1) + self.log_prior[:, None]
+            best = total.argmax(0)
+            score = 1.0 / np.exp(total - total.max(0)).sum(0)
+            for i, language, s in zip(group[some].tolist(), best.tolist(), score.tolist(), strict=True):
+                names[i], scores[i] = self.langs[language], s
+        return names, scores
 
 
 def train_language_model(labelled: DataFrame) -> LanguageModel:
@@ -108,12 +167,13 @@ def train_language_model(labelled: DataFrame) -> LanguageModel:
         sums: dict[str, np.ndarray] = {}
         texts: dict[str, int] = {}
         for b in batches:
-            for text, lang in zip(b.column(0), b.column(1), strict=True):
-                found = bucket_counts(text.as_py())
-                key = lang.as_py()
-                if found.any():
-                    sums[key] = sums[key] + found if key in sums else found
-                    texts[key] = texts.get(key, 0) + 1
+            langs = b.column(1).to_pylist()
+            for group, starts, buckets, counts in sparse_counts(b.column(0).to_pylist()):
+                for i, a, e in zip(group.tolist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    if e > a:
+                        own = sums.setdefault(langs[i], np.zeros(BUCKETS, np.int64))
+                        own[buckets[a:e]] += counts[a:e]
+                        texts[langs[i]] = texts.get(langs[i], 0) + 1
         for key, found in sums.items():
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_pydict({"lang": [key] * (len(at) + 1), "bucket": np.append(at, -1), "n": np.append(found[at], texts[key])})
@@ -139,7 +199,8 @@ def prediction(model: LanguageModel, text: Column, spark) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        names, scores = shared.value.predict([None if t is None or t != t else t for t in texts])
+        return pd.DataFrame({"lang_pred": names, "score": scores})
 
     return predict(text.cast("string"))
 
@@ -163,8 +224,9 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     model = train_language_model(docs.where(fold(F.col("doc_id"), 4) != 2))
     if not model.langs:
         return docs.where(F.col("text").rlike("\\p{L}"))
-    found = prediction(model, F.col("text"), session_of(docs))
-    return docs.withColumn("its language", found).where((F.col("its language.lang_pred") != UNDETERMINED) & (F.col("its language.score") >= least)).drop("its language")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")
+    marked = docs.select(own, prediction(model, F.col("text"), session_of(docs)).alias("found"))
+    return marked.where((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= least)).select("record.*")
 
 
 def fold(doc_id: Column, folds: int) -> Column:

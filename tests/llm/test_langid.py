@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 
 from skyloom.llm import langid
-from skyloom.llm.langid import identify_languages, keep_identified, ngram_buckets, train_language_model
+from skyloom.llm.langid import identify_languages, keep_identified, sparse_counts, train_language_model
 
 from .helpers import documents, frame
 
@@ -27,6 +27,32 @@ def table(n: int = 200):
     return rows
 
 
+def counted(texts: list) -> list[np.ndarray]:
+    out = [np.zeros(langid.BUCKETS, np.int64) for _ in texts]
+    for group, starts, buckets, counts in sparse_counts(texts):
+        for i, a, e in zip(group, starts, starts[1:], strict=False):
+            out[i][buckets[a:e]] += counts[a:e]
+    return out
+
+
+def plain_ngrams(text: str | None) -> list[str]:
+    low = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    padded = f" {' '.join(low.split())} " if low.split() else ""
+    return [padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1) if padded[i : i + n] != " "]
+
+
+def test_counts_are_those_of_the_ngrams():
+    """As many as a plain reading finds, and the same bucket for the same n-gram, in whatever company."""
+    texts = ["aé ß, a", "", None, "x", " \0a\0 b ", "12", "ΑΣ ΑΣ", "one two"]
+    found = counted(texts)
+    assert [int(f.sum()) for f in found] == [len(plain_ngrams(t)) for t in texts]
+    for t, f in zip(texts, found, strict=True):
+        alone = counted([t])[0]
+        assert (alone == f).all()
+        assert len(np.flatnonzero(f)) <= len(set(plain_ngrams(t)))
+    assert (counted(["one two"])[0] == counted(["ONE -- two"])[0]).all()
+
+
 def test_held_out_accuracy(spark):
     rows = table()
     truth = {r[0]: r[2] for r in rows}
@@ -45,7 +71,7 @@ def test_model_is_naive_bayes(spark):
     texts = dict.fromkeys(SOUNDS, 0)
     for r in rows:
         if r[2]:
-            counts[r[2]] += np.bincount(ngram_buckets(r[1]), minlength=langid.BUCKETS)
+            counts[r[2]] += counted([r[1]])[0]
             texts[r[2]] += 1
     for lang, row, prior in zip(model.langs, model.log_prob, model.log_prior, strict=True):
         plain = np.log((counts[lang] + langid.ALPHA) / (counts[lang].sum() + langid.ALPHA * langid.BUCKETS))
@@ -75,6 +101,27 @@ def test_kept_rows(spark):
 
 
 def test_long_texts_are_read_whole(monkeypatch):
-    whole = langid.bucket_counts("aé ß" * 1000)
-    monkeypatch.setattr(langid, "PIECE", 50)
-    assert abs(langid.bucket_counts("aé ß" * 1000) - whole).sum() < 0.1 * whole.sum()
+    """Piece by piece, every n-gram counts once, over the cuts too."""
+    rng = random.Random(2)
+    texts = ["aé ß" * 1000, "  a", "x" * 333, " - " * 100, "".join(rng.choice("ab é,İΣ\0") for _ in range(5000))]
+    whole = counted(texts)
+    for piece in (1, 2, 3, 7, 50, 1000):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert all((a == b).all() for a, b in zip(counted(texts), whole, strict=True))
+
+
+def test_scores_do_not_depend_on_the_way(spark, monkeypatch):
+    rows = table(80)
+    model = train_language_model(frame(spark, rows))
+    texts = [r[1] for r in rows] + [None, "", "12"]
+    names, scores = model.predict(texts)
+    monkeypatch.setattr(langid, "PIECE", 10)
+    again, scores_again = model.predict(texts)
+    assert names == again and scores.tolist() == scores_again.tolist()
+    assert names[-3:] == ["und"] * 3
+
+
+def test_clashing_columns_stay(spark):
+    df = frame(spark, table(30)).selectExpr("*", "'mine' AS `its language`", "'mine' AS found", "'mine' AS record")
+    kept = keep_identified(df)
+    assert kept.columns == df.columns and {r["its language"] for r in kept.collect()} == {"mine"}
