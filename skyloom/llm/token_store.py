@@ -10,7 +10,8 @@ n_docs + 1 boundaries, and a footer of fixed length.
 Elias-Fano keeps n ascending values below u in about n * (2 + log2(u / n)) bits:
 the low bits of each value packed side by side, the high bits in unary. Every
 256th one of the unary part has its place kept, so ``select(i)`` reads a few
-bytes and no table of 64-bit offsets exists.
+bytes. Readers select the boundaries of some documents at a time; no table of
+64-bit offsets exists.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import json
 import string
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -39,6 +41,8 @@ CACHED_WORDS = 450_000
 LAST_SIMPLE, DOTTED_I = "\u0250", "\u0130"
 CHUNK_TOKENS = 1 << 20
 ENCODED_AT_ONCE = 1 << 19
+#: Values whose low bits are packed at once (a multiple of 8), and documents whose boundaries are selected at once.
+PACKED_AT_ONCE, READ_AT_ONCE = 1 << 16, 4096
 
 
 class EliasFano:
@@ -62,12 +66,12 @@ class EliasFano:
         places = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(places[-1]) + 1, np.uint8)
         bits[places] = 1
-        lows = np.zeros(0, np.uint8)
-        if low_bits:
-            shifts = np.arange(low_bits, dtype=np.uint64)
-            lows = np.packbits(((values[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+        shifts = np.arange(low_bits, dtype=np.uint64)
+        lows = []
+        for k in range(0, n if low_bits else 0, PACKED_AT_ONCE):  # a whole number of bytes each
+            lows.append(np.packbits(((values[k : k + PACKED_AT_ONCE, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes())
         samples = places[::SAMPLE].astype("<u4" if places[-1] < 1 << 32 else "<u8")
-        return cls(n, low_bits, lows.tobytes(), np.packbits(bits, bitorder="little").tobytes(), samples.tobytes())
+        return cls(n, low_bits, b"".join(lows), np.packbits(bits, bitorder="little").tobytes(), samples.tobytes())
 
     def parts(self) -> tuple[bytes, bytes, bytes]:
         return self.lows.tobytes(), self.highs.tobytes(), self.samples.tobytes()
@@ -77,9 +81,8 @@ class EliasFano:
         piece = self.lows[start >> 3 : (start + self.low_bits + 7) >> 3].tobytes()
         return int.from_bytes(piece, "little") >> (start & 7) & ((1 << self.low_bits) - 1)
 
-    def select(self, i: int) -> int:
-        if not 0 <= i < self.n:
-            raise IndexError(i)
+    def _place(self, i: int) -> int:
+        """Where the i-th one of the unary part is: from the sample before it, by bytes and their bit counts."""
         place, left = int(self.samples[i // SAMPLE]), i % SAMPLE
         if left:
             at = place + 1
@@ -92,13 +95,28 @@ class EliasFano:
             for _ in range(left - 1):
                 window &= window - 1
             place = byte * 8 + (window & -window).bit_length() - 1
-        return (place - i) << self.low_bits | (self._low(i) if self.low_bits else 0)
+        return place
 
-    def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n]
-        values = (places - np.arange(self.n)).astype(np.int64) << self.low_bits
+    def select(self, i: int) -> int:
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        return (self._place(i) - i) << self.low_bits | (self._low(i) if self.low_bits else 0)
+
+    def select_many(self, first: int, end: int) -> np.ndarray:
+        """The values from the first-th on, before the end-th: selects both ends and reads the bits between."""
+        if not 0 <= first <= end <= self.n:
+            raise IndexError((first, end))
+        if first == end:
+            return np.zeros(0, np.int64)
+        a, b = self._place(first), self._place(end - 1)
+        start = a >> 3
+        places = np.flatnonzero(np.unpackbits(self.highs[start : (b >> 3) + 1], bitorder="little")) + 8 * start
+        places = places[(places >= a) & (places <= b)]
+        values = (places - np.arange(first, end)) << self.low_bits
         if self.low_bits:
-            bits = np.unpackbits(self.lows, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
+            bit = first * self.low_bits
+            raw = np.unpackbits(self.lows[bit >> 3 : (end * self.low_bits + 7) >> 3], bitorder="little")[bit & 7 :]
+            bits = raw[: (end - first) * self.low_bits].reshape(end - first, self.low_bits)
             values |= bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
         return values
 
@@ -294,7 +312,7 @@ def write_shard(path: str, batches: Iterable[pa.RecordBatch], encode: WordEncode
     draft = f"{target}.{np.random.default_rng().integers(1 << 62):x}.draft"
     end, width = np.array([end_id], encode.dtype).tobytes(), encode.dtype.itemsize
     doc_ids: list[np.ndarray] = []
-    lengths: list[int] = []
+    lengths = array("q")
     nulls = tokens = 0
     with store.open_output_stream(draft, buffer_size=1 << 20) as out:
         for batch in batches:
@@ -305,7 +323,7 @@ def write_shard(path: str, batches: Iterable[pa.RecordBatch], encode: WordEncode
                 for ids_of_text in encode.encode_many(texts):
                     out.write(ids_of_text + end)
                     lengths.append(len(ids_of_text) // width + 1)
-        bounds = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))]).astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, np.int64))]).astype(np.int64)
         tokens = int(bounds[-1])
         code = EliasFano.of(bounds)
         sections = [b"".join(x.tobytes() for x in doc_ids), *code.parts()]
@@ -405,17 +423,18 @@ def read_token_store(spark, store: TokenStore, with_ids: bool = False) -> DataFr
         for batch in batches:
             for name, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 shard = Shard(f"{path}/{name}")
-                bounds, doc_ids = shard.bounds.all(), shard.doc_ids()
-                at = 0
+                doc_ids, at = shard.doc_ids(), 0
                 while at < shard.n:
-                    end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK_TOKENS, "right")) - 1)
-                    ids = shard.ids(int(bounds[at]), int(bounds[end])).astype("<u4")
-                    cuts = bounds[at : end + 1] - bounds[at]
+                    bounds = shard.bounds.select_many(at, min(at + READ_AT_ONCE, shard.n) + 1)
+                    held = max(1, int(np.searchsorted(bounds, bounds[0] + CHUNK_TOKENS, "right")) - 1)
+                    bounds, end = bounds[: held + 1], at + held
+                    ids = shard.ids(int(bounds[0]), int(bounds[-1])).astype("<u4")
+                    cuts = bounds - bounds[0]
                     pieces = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                     columns = [
                         pa.array(doc_ids.data[at:end], pa.int64(), mask=np.ma.getmaskarray(doc_ids)[at:end]),
-                        pa.array(bounds[at:end] + first, pa.int64()),
-                        pa.array(np.diff(bounds[at : end + 1]), pa.int64()),
+                        pa.array(bounds[:-1] + first, pa.int64()),
+                        pa.array(np.diff(bounds), pa.int64()),
                         pa.array([zlib.crc32(p) for p in pieces], pa.int64()),
                     ]
                     if with_ids:

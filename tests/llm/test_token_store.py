@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from skyloom.llm import token_store
 from skyloom.llm.token_store import EliasFano, Shard, WordEncoder, read_token_store, write_token_store
 
 from .helpers import documents, frame
@@ -23,7 +24,10 @@ def test_elias_fano_round_trip(values):
     values = np.array(sorted(values), np.int64)
     code = EliasFano.of(values)
     again = EliasFano(code.n, code.low_bits, *code.parts())
-    assert (again.all() == values).all()
+    assert (again.select_many(0, len(values)) == values).all()
+    for first in range(0, len(values), 37):
+        for end in (first, first + 1, min(len(values), first + 50), len(values)):
+            assert again.select_many(first, end).tolist() == values[first:end].tolist()
     assert [again.select(i) for i in range(len(values))] == values.tolist()
     with pytest.raises(IndexError):
         again.select(len(values))
@@ -68,8 +72,16 @@ def expected_rows(docs):
     return out
 
 
-@pytest.mark.parametrize("shards", [1, 5])
-def test_store(spark, shards):
+def test_low_bits_are_packed_in_parts(monkeypatch):
+    values = np.cumsum(np.random.default_rng(2).integers(0, 1 << 20, 1000))
+    whole = EliasFano.of(values).parts()
+    monkeypatch.setattr(token_store, "PACKED_AT_ONCE", 64)
+    assert EliasFano.of(values).parts() == whole
+
+
+@pytest.mark.parametrize(("shards", "at_once"), [(1, 4096), (5, 4096), (2, 3)])
+def test_store(spark, monkeypatch, shards, at_once):
+    monkeypatch.setattr(token_store, "READ_AT_ONCE", at_once)
     docs = documents()
     store = write_token_store(frame(spark, docs, extra=True), PATH, shards=shards)
     found = sorted((tuple(r) for r in read_token_store(spark, store).collect()), key=lambda r: r[1])
