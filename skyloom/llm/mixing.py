@@ -25,8 +25,8 @@ SEED = 17
 #: How often a document may be used at most.
 EPOCHS = 4
 LEVELS = ("domain", "leaf_lang", "leaf_source")
-#: Domain of a source, here by its number; weights by name, all others 1.
-DOMAIN = "case when source rlike '^src[0-9]+$' then concat('domain', cast(substr(source, 4) as int) % 4) else 'other' end"
+#: Domain of a source, here by its number modulo 4 (which its last two digits tell, however long it is); weights by name, all others 1.
+DOMAIN = "case when source rlike '^src[0-9]+$' then concat('domain', cast(right(concat('0', substr(source, 4)), 2) as int) % 4) else 'other' end"
 WEIGHTS: dict[str, dict[str, int]] = {
     "domain": {"domain0": 4, "domain1": 3, "domain2": 2},
     "leaf_lang": {"en": 5, "de": 2, "fr": 2},
@@ -116,13 +116,12 @@ def ranged(rows: DataFrame, seed: int) -> DataFrame:
 
 
 def with_copies(docs: DataFrame, plan: DataFrame, domain: str = DOMAIN, seed: int = SEED) -> DataFrame:
-    """docs with domain, leaf_lang, leaf_source and copies: how often each row is used. Only the leaves' table is joined; texts stay where they are."""
-    clashing = {c: f"own {c}" for c in docs.columns if c in {*LEVELS, "copies", "tokens", "rows", "budget", "full_epochs", "rest", "ranges", "cut_range", "cut", "draw", "hash_range"}}
-    renamed = docs.withColumnsRenamed(clashing)
-    rows = ranged(with_leaves(renamed, domain).join(plan, [*LEVELS]), seed)
+    """record (a row of docs), domain, leaf_lang, leaf_source and copies: how often each row is used. Only the leaves' table is joined; texts stay where they are."""
+    records = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "source")
+    rows = ranged(with_leaves(records, domain).join(plan, [*LEVELS]), seed)
     earlier = F.struct("draw", "doc_id") <= F.col("cut")
     in_prefix = F.coalesce((F.col("rest") > 0) & ((F.col("hash_range") < F.col("cut_range")) | (F.col("hash_range") == F.col("cut_range")) & F.coalesce(earlier, F.lit(False))), F.lit(False))
-    return rows.withColumn("copies", F.col("full_epochs") + in_prefix.cast("long")).select(*[F.col(f"`{clashing.get(c, c)}`").alias(c) if c in clashing else F.col(f"`{c}`") for c in docs.columns], *[F.col(c).alias(f"mix_{c}") for c in (*LEVELS, "copies")])
+    return rows.select("record", *LEVELS, (F.col("full_epochs") + in_prefix.cast("long")).alias("copies"))
 
 
 def mix_copies(docs: DataFrame, **options) -> DataFrame:
@@ -137,19 +136,19 @@ def mix_copies(docs: DataFrame, **options) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", "text")
     keyed = {k: v for k, v in options.items() if k in ("domain", "seed")}
     rows = with_copies(narrow, mix_plan(docs, **options), **keyed)
-    return rows.select("doc_id", F.col("mix_domain").alias("domain"), F.col("mix_leaf_lang").alias("lang"), F.col("mix_leaf_source").alias("source"), tokens_of(F.col("text")).alias("n_tokens"), F.col("mix_copies").alias("copies"))
+    return rows.select("record.doc_id", "domain", F.col("leaf_lang").alias("lang"), F.col("leaf_source").alias("source"), tokens_of(F.col("record.text")).alias("n_tokens"), "copies")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as its copies say, with the columns of docs."""
     keyed = {k: v for k, v in options.items() if k in ("domain", "seed")}
     rows = with_copies(docs, mix_plan(docs, **options), **keyed)
-    return rows.where("mix_copies > 0").withColumn("mix_copies", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.where("copies > 0").select("record", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("record.*")
 
 
 def oracle(weights: dict[str, dict[str, int]] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> str:
     """mix_copies of documents in DuckDB, each leaf sorted whole."""
-    domain = "case when regexp_matches(source, '^src[0-9]+$') then 'domain' || (substr(source, 4)::int % 4) else 'other' end"
+    domain = "case when regexp_matches(source, '^src[0-9]+$') then 'domain' || (right('0' || substr(source, 4), 2)::int % 4) else 'other' end"
     parts = [
         f"""r as (select doc_id, {domain} "domain", coalesce(lang, 'unknown') leaf_lang, coalesce(source, 'unknown') leaf_source,
         len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::bigint n_tokens from documents)""",

@@ -81,3 +81,20 @@ def test_empty_and_tokenless(spark):
 def test_weights_are_positive(spark):
     with pytest.raises(ValueError):
         mix_copies(frame(spark, documents()), weights={"domain": {"domain0": 0}})
+
+
+def test_sources_of_any_number(spark):
+    """The domain of a number beyond all integers, as of a short one."""
+    rows = [(k, "one two three", "en", f"src{n}", None) for k, n in enumerate(["7", "99999999999", "1" * 40, "0", "", "x1", "00000000000000000000012"])]
+    found = {r.doc_id: r.domain for r in mix_copies(frame(spark, rows)).collect()}
+    assert [found[k] for k in range(7)] == ["domain3", "domain3", "domain3", "domain0", "other", "other", "domain0"]
+
+
+def test_oracle_on_long_numbers():
+    import duckdb
+
+    from skyloom.llm.mixing import oracle
+
+    con = duckdb.connect()
+    con.sql("create table documents as select * from (values (1, 'a b', 'en', 'src99999999999'), (2, 'c', 'en', 'src7')) t(doc_id, text, lang, source)")
+    assert {r[1] for r in con.sql(f"select doc_id, domain from ({oracle()})").fetchall()} == {"domain3"}
