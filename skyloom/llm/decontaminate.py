@@ -22,6 +22,8 @@ WORDS = 5
 THRESHOLD = 0.8
 #: A sketch index or item table of more rows is joined by shuffling, not broadcast (about 30 bytes a row).
 BROADCAST_ROWS = 1_000_000
+#: Pairs to verify whose ids are broadcast at most; more make the texts move once.
+BROADCAST_PAIRS = 200_000
 WORD_BREAK = "[^\\p{L}\\p{N}]+"
 
 
@@ -99,6 +101,8 @@ def contained_items(docs: DataFrame, items: DataFrame, words_n: int = WORDS, thr
 def verified(texts: DataFrame, known: DataFrame, items: int, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose text has enough of the item's shingles, compared as strings."""
     found = pairs.groupBy("doc_id", "text_hash").agg(F.collect_set("item_no").alias("item_nos"))  # at most the items that share a hash with one text
+    if pairs.count() <= BROADCAST_PAIRS:
+        found = F.broadcast(found)
     named = texts.withColumn("text_hash", F.xxhash64("text"))
     same = named["doc_id"].eqNullSafe(found["doc_id"]) & (named["text_hash"] == found["text_hash"])
     met = named.join(found, same).select(named["doc_id"], words_of(F.col("text")).alias("text_words"), F.explode("item_nos").alias("item_no"))
@@ -122,8 +126,8 @@ ig as (select distinct item_id, least(len(w), {WORDS}) k, array_to_string(w[i :
        from (select item_id, w, unnest(range(1, len(w) - least(len(w), {WORDS}) + 2)) i from iw where len(w) > 0)),
 isz as (select item_id, count(*) n from ig group by 1),
 dw as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') w from documents),
-dg as (select distinct doc_id, {WORDS} k, array_to_string(w[i : i + {WORDS} - 1], ' ') s
-       from (select doc_id, w, unnest(range(1, len(w) - {WORDS} + 2)) i from dw where len(w) >= {WORDS})),
+dg as (select distinct doc_id, k, array_to_string(w[i : i + k - 1], ' ') s
+       from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) i from dw, (select distinct k from ig) where len(w) >= k)),
 hit as (select doc_id, item_id, count(*) shared from dg join ig using (k, s) group by all)
 select doc_id, item_id, n::int item_shingles, shared::int shared, shared / n containment
 from hit join isz using (item_id) where shared >= greatest(1, (n * {round(THRESHOLD * 1000)} + 999) // 1000)

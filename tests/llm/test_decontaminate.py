@@ -63,3 +63,27 @@ def test_empty_tables(spark):
     assert contained_items(frame(spark, []), items).collect() == []
     assert contained_items(frame(spark, documents()), items.limit(0)).collect() == []
     assert d.decontaminate(frame(spark, documents()), items.limit(0)).count() == len(documents())
+
+
+def test_sql_sees_short_items(spark):
+    """Items of one to seven words, by the query's SQL and by the operator."""
+    import random
+
+    import duckdb
+
+    from skyloom.llm.decontaminate import ORACLE
+
+    from .helpers import prose
+
+    rng = random.Random(4)
+    items = [(k, prose(rng, k)) for k in range(1, 8)] + [(9, ""), (10, None), (11, "...")]
+    docs = [(k, f"{prose(rng, 12)} {items[k % 7][1]} {prose(rng, 9)}", "en", "s", None) for k in range(40)] + [(99, None, "en", "s", None), (98, items[1][1], "en", "s", None)]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.execute("create table benchmark (item_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [r[:2] for r in docs])
+    con.executemany("insert into benchmark values (?, ?)", items)
+    expected = sorted(con.sql(ORACLE).fetchall())
+    found = contained_items(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(tuple(r) for r in found.select("doc_id", "item_id", "item_shingles", "shared", "containment").collect()) == expected
+    assert {r[1] for r in expected} == {1, 2, 3, 4, 5, 6, 7}
