@@ -2,22 +2,34 @@
 
 The DOMs of one host are merged: elements with the same path of tags and classes
 are one node of the host's style tree. Over the m pages that have a node,
-presentation importance is the entropy (base m) of the forms its branch takes,
-content importance that of its texts; a menu that all pages share has both near
-0, an article near 1. A node's importance joins both as
-
-    (1 - 0.9^l) * presentation + 0.9^l * content    (l: kinds of children),
-
-where a menu of changing words would still look like content. So the markup's own
-word comes first: branches that name themselves as menus, headers, footers,
-adverts, forms, comments and so on go. The tree decides about all others, in an
-article or main element and outside of it: below the threshold they go, unless
-they hold most of a page's text. The mark of an article raises the importance of
-its branches, so they go below a lower threshold only.
-
-Statistics are sums over (host, path, hash) with a map-side count, so a host of
-any size is never gathered in one place; a page meets the low nodes of its own
-paths only.
+
+* presentation importance is the entropy (base m) of the forms its branch takes;
+* a word's entropy H (base m) over those pages is 1 if all pages have it alike, 0 if one page alone has it;
+* novelty is the mean of 1 - H over the different words of the branch;
+* content importance is the branch's information a page (1 - H of each of its
+  words, and a little for any word) as a share of that of the host's pages.
+  Words of links are no running text and count nothing, so menus have none,
+  whether their words change from page to page or not.
+
+A node's importance joins presentation and content as
+
+    (1 - 0.9^l) * presentation + 0.9^l * content    (l: kinds of children).
+
+The tree decides about every branch of a page: sections, lists and tables outside
+of an article, and elements that name themselves as something else, stay from a
+threshold of importance on. Headings, paragraphs and the like, article and main
+elements and what is in them stay with their branch unless their words are the
+same on most pages. The markup's own word is a weight: what is named as a menu,
+header, footer, advert, form and so on counts half, and what is named as comments
+a fifth, as entropies can't tell comments from articles. It decides alone only
+where a host has too few pages to compare. Nothing but what is no text at all
+(scripts, styles, controls of forms, hidden elements) goes without a look at the
+tree.
+
+Statistics are sums over (host, path, word) with a map-side count, so a host of
+any size is never gathered in one place. Pages are read twice where they lie; the
+tree travels, up to BROADCAST_NODES nodes, else the nodes of its own paths meet
+each page.
 """
 
 from __future__ import annotations
@@ -26,19 +38,28 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from math import log
 from types import MappingProxyType
+from zlib import crc32
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_of
-
-THRESHOLD = 0.3
-#: Importance of branches of an article counts so many times.
-ARTICLE_WEIGHT = 2.0
+from .common import session_of, settle
+
+THRESHOLD = 0.25
+#: Novelty below which words are the same on most pages.
+REPEATED = 0.2
+#: Importance from which a branch is most of a page, and isn't dropped for its repetition.
+MOST = 0.5
+#: What importance is multiplied with.
+NAMED_WEIGHT, COMMENT_WEIGHT = 0.5, 0.2
+#: Information of a word that all pages have.
+LEAST_INFORMATION = 0.02
 GAMMA = 0.9
+#: Nodes of style trees that are broadcast at most, behind a count.
+BROADCAST_NODES = 200_000
 #: A node on fewer pages of its host has importance 1: there is nothing to compare.
 LEAST_PAGES = 3
 COUNTED_AT_ONCE = 200_000
@@ -61,7 +82,12 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
-NEVER_TEXT = set("head script style noscript template iframe noembed noframes xmp svg math textarea title select button input form nav aside footer menu dialog object canvas audio video".split())
+NEVER_TEXT = set("head script style noscript template iframe noembed noframes xmp svg math textarea title select button input dialog object canvas audio video".split())
+#: Elements whose tag names what is not the article; in an article, its own header is its title.
+NAMED_TAGS = set("nav aside footer menu form header".split())
+#: Branches that importance is asked of: these anywhere, those outside of an article.
+BRANCHES = set("div section article main nav aside header footer form menu center fieldset details".split())
+LISTS = set("ul ol dl table".split())
 BOILERPLATE_WORDS = set(
     "nav navbar navigation navi menu menubar topbar masthead header footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription social share sharing comment comments commentlist respond reply replies "
@@ -174,75 +200,77 @@ class Page:
             elif key in words:
                 words[key].update(w.lower() for w in WORD.findall(CAMEL.sub(" ", value)))
                 if key != "role":
-                    style += ("." if key == "class" else "#") + DIGITS.sub("0", " ".join(sorted(value.split())))
+                    style += ("." if key == "class" else "#") + DIGITS.sub("0", " ".join(sorted(value.split()))).replace("/", "|")
         return frozenset(words["class"] | words["role"]), frozenset(words["id"]), hidden, style
 
-    def judged(self, low: Mapping[str, tuple[float, float]] = MappingProxyType({}), threshold: float = THRESHOLD) -> tuple[list[bool], list[bool], list[bool]]:
-        """For each node: it is in an article, it goes, its fate depends on the style tree.
+    def gone(self, tree: Mapping[str, tuple[float, float]] = MappingProxyType({}), threshold: float = THRESHOLD) -> list[bool]:
+        """For each node: it goes. tree: importance and novelty of the paths that enough pages have.
 
-        low: importance and content importance of the paths below the threshold.
         Where a kept branch is the same on most pages as a whole, what is in it
         tells nothing apart and stays with it.
         """
         n = len(self.tag)
+        named = [(self.named[i] | self.by_id[i]) & BOILERPLATE_WORDS for i in range(n)]
         holds_main = [False] * n
         for i in range(n - 1, 0, -1):
-            if self.tag[i] in MAIN and not (self.named[i] | self.by_id[i]) & BOILERPLATE_WORDS - NOT_IN_ARTICLE or holds_main[i]:
+            if self.tag[i] in MAIN and not named[i] - NOT_IN_ARTICLE or holds_main[i]:
                 holds_main[self.parent[i]] = True
-        share = self._shares() if low else None
-        inside, gone, open_, held = [False] * n, [False] * n, [False] * n, [False] * n
+        inside, gone, held = [False] * n, [False] * n, [False] * n
         for i in range(1, n):
             p, tag = self.parent[i], self.tag[i]
-            ids = self.by_id[i] & COMMENT_WORDS if inside[p] and tag in TARGETS else self.by_id[i]
-            words = (self.named[i] | ids) & BOILERPLATE_WORDS
-            within = inside[p] or tag in MAIN
+            inside[i], held[i] = inside[p] or tag in MAIN, held[p]
+            if gone[p] or tag in NEVER_TEXT or self.hidden[i]:
+                gone[i] = True
+                continue
+            if tag in ("html", "body"):
+                continue
+            # a flow element is no section: its names are targets of links and looks
+            words = named[i] if tag in BRANCHES or tag in LISTS and not inside[p] else named[i] & COMMENT_WORDS
             if inside[p]:
-                words = words - NOT_IN_ARTICLE
-            own = tag in NEVER_TEXT or self.hidden[i] or bool(words) or tag == "header" and not inside[p]
-            if holds_main[i] and tag not in ("head", "script", "style"):
-                own = False
-            inside[i] = within and not (own or gone[p])
-            open_[i] = not (gone[p] or own or tag in ("html", "body"))
-            held[i] = held[p]
-            if open_[i] and share is not None and not held[i] and self.path[i] in low:
-                importance, content = low[self.path[i]]
-                if importance * (ARTICLE_WEIGHT if within or holds_main[i] else 1.0) < threshold:
-                    own = share[i] <= 0.5
-                    held[i] = not own and content < threshold
-            gone[i] = gone[p] or own
-        return inside, gone, open_
-
-    def _shares(self) -> list[float]:
-        """Of the text outside what always goes, each branch's share."""
-        size = [0] * len(self.tag)
-        for node, text in self.pieces:
-            size[node] += len(text) if self.tag[node] not in RAW else 0
-        for i in range(len(size) - 1, 0, -1):
-            size[self.parent[i]] += size[i] if self.tag[i] not in NEVER_TEXT else 0
-        return [x / max(1, size[0]) for x in size]
-
-    def text(self, low: Mapping[str, tuple[float, float]] = MappingProxyType({}), threshold: float = THRESHOLD) -> str:
+                words = (words - NOT_IN_ARTICLE) if tag != "section" else self.named[i] & BOILERPLATE_WORDS | self.by_id[i] & COMMENT_WORDS
+            comments = bool(words & COMMENT_WORDS)
+            other = bool(words) or tag in NAMED_TAGS and not (tag == "header" and inside[p])
+            if holds_main[i] and not comments:
+                continue
+            known = tree.get(self.path[i])
+            if known is None:
+                gone[i] = other
+                continue
+            importance, novelty = known
+            importance *= COMMENT_WEIGHT if comments else NAMED_WEIGHT if other else 1.0
+            asked = other or not inside[i] and (tag in BRANCHES or tag in LISTS)
+            gone[i] = importance < threshold if asked else novelty < REPEATED and importance < MOST and not held[p]
+            held[i] = held[p] or not gone[i] and novelty < REPEATED
+        return gone
+
+    def text(self, tree: Mapping[str, tuple[float, float]] = MappingProxyType({}), threshold: float = THRESHOLD) -> str:
         """The main text: all that stays; runs of white space are one space."""
-        gone = self.judged(low, threshold)[1]
+        gone = self.gone(tree, threshold)
         return " ".join("".join(t for node, t in self.pieces if t == " " or not gone[node]).split())
 
-    def branches(self) -> dict[str, tuple[str, str, int]]:
-        """For each path: form (the kinds of children in order, of all elements of the path), text of the branch, kinds of children."""
-        texts: list[list[str]] = [[] for _ in self.tag]
+    def forms(self) -> dict[str, tuple[str, int]]:
+        """For each path: form (the kinds of children in order, of all elements of the path) and number of kinds of children."""
         children: list[list[str]] = [[] for _ in self.tag]
-        for node, text in self.pieces:
-            texts[node].append(text)
-        whole = ["".join(t) for t in texts]
-        for i in range(len(self.tag) - 1, 0, -1):
+        for i in range(1, len(self.tag)):
             p = self.parent[i]
             kind = self.path[i][len(self.path[p]) :]
             if not children[p] or children[p][-1] != kind:
                 children[p].append(kind)
-            whole[p] += whole[i] if self.tag[i] not in RAW else ""
-        found: dict[str, tuple[str, str, int]] = {}
+        found: dict[str, tuple[str, int]] = {}
         for i in range(1, len(self.tag)):
-            form, text, kinds = found.get(self.path[i], ("", "", 0))
-            found[self.path[i]] = (f"{form}|{' '.join(children[i])}", f"{text}|{whole[i]}", max(kinds, len(set(children[i]))))
+            form, kinds = found.get(self.path[i], ("", 0))
+            found[self.path[i]] = (f"{form}|{' '.join(children[i])}", max(kinds, len(set(children[i]))))
+        return found
+
+    def words(self) -> dict[str, Counter[str]]:
+        """For each path that has some: its own words of running text, those of branches not counted."""
+        still = [False] * len(self.tag)
+        for i in range(1, len(self.tag)):
+            still[i] = still[self.parent[i]] or self.tag[i] == "a" or self.tag[i] in NEVER_TEXT
+        found: dict[str, Counter[str]] = {}
+        for node, text in self.pieces:
+            if text != " " and not still[node]:
+                found.setdefault(self.path[node], Counter()).update(text.lower().split())
         return found
 
 
@@ -254,46 +282,66 @@ def hosted(pages: DataFrame) -> DataFrame:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, pages, presentation, content, importance of every node of the hosts' style trees.
+    """host, path, pages, presentation, content, novelty, importance of every node of the hosts' style trees.
 
-    Both importances are entropies over the node's pages: 1 - sum(c ln c) / (m ln
-    m) for counts c of equal forms or texts. Null and empty html has no node.
+    Importances and novelty of nodes that fewer than LEAST_PAGES pages have are
+    null. Null and empty html has no node. A branch without running text has no
+    content, and novelty 1.
     """
     session_of(pages)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        found: Counter[tuple] = Counter()
+        forms: Counter[tuple] = Counter()
+        tokens: Counter[tuple] = Counter()
+        logs: Counter[tuple] = Counter()  # of c occurrences on a page, c ln c
 
         def out() -> pa.RecordBatch:
-            columns = list(zip(*found, strict=True)) if found else [(), (), (), (), ()]
-            hashes = np.array(columns[3], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(hashes), pa.array(columns[4], pa.int32()), pa.array(list(found.values()), pa.int64())],
-                ["host", "path", "kind", "hash", "kinds", "n"],
-            )
+            hosts, paths, kinds, hashes, more = zip(*forms, *tokens, strict=True) if forms else [()] * 5
+            columns = [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.int32()), pa.array(hashes, pa.int64()), pa.array(more, pa.int32())]
+            made = [*forms.values(), *tokens.values()]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.int64()), pa.array([0.0] * len(forms) + [logs.get(k, 0.0) for k in tokens], pa.float64())], ["host", "path", "kind", "hash", "kinds", "n", "logs"])
 
         for b in batches:
             for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for path, (form, text, kinds) in Page(html.as_py()).branches().items():
-                    found[host, path, 0, xxh64_intdigest(form), kinds] += 1
-                    found[host, path, 1, xxh64_intdigest(text.encode("utf-8", "surrogatepass")), 0] += 1
-            if len(found) > COUNTED_AT_ONCE:
-                yield out()
-                found.clear()
+                page = Page(html.as_py())
+                for path, (form, kinds) in page.forms().items():
+                    forms[host, path, 0, xxh64_intdigest(form.encode("utf-8", "surrogatepass")) - (1 << 63), kinds] += 1
+                for path, words in page.words().items():
+                    for w, c in words.items():
+                        key = (host, path, 1, crc32(w.encode("utf-8", "surrogatepass")), 0)
+                        tokens[key] += c
+                        if c > 1:
+                            logs[key] += c * log(c)
+                if len(forms) + len(tokens) > COUNTED_AT_ONCE:
+                    yield out()
+                    forms.clear()
+                    tokens.clear()
+                    logs.clear()
         yield out()
 
-    rows = hosted(pages).select("host", "html").mapInArrow(count, "host string, path string, kind int, hash long, kinds int, n long")
-    same = rows.groupBy("host", "path", "kind", "hash").agg(F.sum("n").alias("c"), F.max("kinds").alias("kinds"))
-    c, form = F.col("c"), F.col("kind") == 0
-    of = lambda kind: F.sum(F.when(form if kind == 0 else ~form, c * F.log(c)))
-    sums = same.groupBy("host", "path").agg(F.sum(F.when(form, c)).alias("pages"), F.max("kinds").alias("kinds"), of(0).alias("s0"), of(1).alias("s1"))
+    rows = hosted(pages).select("host", "html").mapInArrow(count, "host string, path string, kind int, hash long, kinds int, n long, logs double")
+    same = settle(rows.groupBy("host", "path", "kind", "hash").agg(F.sum("n").alias("c"), F.max("kinds").alias("kinds"), F.sum("logs").alias("logs")), "features")
+    c = F.col("c")
+    sums = same.where("kind = 0").groupBy("host", "path").agg(F.sum("c").alias("pages"), F.max("kinds").alias("kinds"), F.sum(c * F.log(c)).alias("s"))
     m = F.col("pages")
-    entropy = lambda s: F.when(m < LEAST_PAGES, F.lit(1.0)).otherwise(1 - F.col(s) / (m * F.log(m)))
+    # words, by the entropy over the pages of the node that they are in; a node of one page has no entropy
+    entropy = F.when(m > 1, (F.log("c") - F.col("logs") / F.col("c")) / F.log(m)).otherwise(0.0)
+    words = same.where("kind = 1").join(sums.select("host", "path", "pages"), ["host", "path"]).withColumn("news", 1 - F.least(entropy, F.lit(1.0)))
+    own = words.groupBy("host", "path").agg(F.count("*").alias("types"), F.sum("news").alias("news"), F.sum(c * (F.col("news") + LEAST_INFORMATION)).alias("information"))
+    # each node's own words count for all branches around it
+    parts = F.split("path", "/")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))
+    branches = own.select("host", above.alias("path"), "types", "news", "information").groupBy("host", "path").agg(*[F.sum(x).alias(x) for x in ("types", "news", "information")])
+    whole = branches.where("path = ''").join(sums.where("path not like '/%/%'").groupBy("host").agg(F.max("pages").alias("host_pages")), "host").select("host", (F.col("information") / F.col("host_pages")).alias("of_page"))
+    known = sums.join(branches, ["host", "path"], "left").join(whole, "host", "left")
+    content = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("information") / m, F.col("of_page")), F.lit(0.0)))
+    novelty = F.coalesce(F.col("news") / F.col("types"), F.lit(1.0))
+    presentation = 1 - F.col("s") / (m * F.log(m))
     mixed = F.pow(F.lit(GAMMA), "kinds")
-    known = sums.select("host", "path", "pages", "kinds", entropy("s0").alias("presentation"), entropy("s1").alias("content"))
-    return known.select("host", "path", "pages", "presentation", "content", ((1 - mixed) * F.col("presentation") + mixed * F.col("content")).alias("importance"))
+    enough = lambda x: F.when(m >= LEAST_PAGES, x)
+    return known.select("host", "path", "pages", enough(presentation).alias("presentation"), enough(content).alias("content"), enough(novelty).alias("novelty"), enough((1 - mixed) * presentation + mixed * content).alias("importance"))
 
 
 def extract_text(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -303,29 +351,43 @@ def extract_text(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     has the empty host; repeated rows get a row each. Very long pages are read
     whole. No rows give no rows.
     """
-    session_of(pages)
+    spark = session_of(pages)
     rows = hosted(pages)
-    low = style_tree(pages).where(F.col("importance") < threshold).select("host", "path", F.struct("path", "importance", "content").alias("node"))
+    tree = settle(style_tree(pages).where("importance is not null").select("host", "path", "importance", "novelty"), "style-tree")
+    schema = "page_id long, url string, text string, n_chars long"
 
-    def open_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(b: pa.RecordBatch, trees) -> pa.RecordBatch:
+        made = [Page(html.as_py()).text(own, threshold) for html, own in zip(b.column(2), trees, strict=True)]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    if tree.count() <= BROADCAST_NODES:
+        by_host: dict[str, dict[str, tuple[float, float]]] = {}
+        for host, path, importance, novelty in zip(*(x.to_pylist() for x in tree.toArrow().columns), strict=True):
+            by_host.setdefault(host, {})[path] = (importance, novelty)
+        shared = spark.sparkContext.broadcast(by_host)
+
+        def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield texts(b, [shared.value.get(host, {}) for host in b.column(3).to_pylist()])
+
+        return rows.select("page_id", "url", "html", "host").mapInArrow(extract, schema)
+
+    def paths_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             refs, hosts, paths = [], [], []
             for ref, host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                page = Page(html.as_py())
-                own = {page.path[i] for i, x in enumerate(page.judged()[2]) if x}
+                own = set(Page(html.as_py()).path[1:])
                 refs += [ref] * len(own)
                 hosts += [host] * len(own)
                 paths += own
             yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array(hosts, pa.string()), pa.array(paths, pa.string())], ["ref", "host", "path"])
 
-    asked = rows.select("ref", "host", "html").mapInArrow(open_paths, "ref long, host string, path string")
+    asked = rows.select("ref", "host", "html").mapInArrow(paths_of, "ref long, host string, path string").distinct()
     # at most the paths of one page
-    found = asked.join(low, ["host", "path"]).groupBy("ref").agg(F.collect_set("node").alias("low"))
+    found = asked.join(tree, ["host", "path"]).groupBy("ref").agg(F.collect_list(F.struct("path", "importance", "novelty")).alias("nodes"))
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def extract_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [Page(html.as_py()).text({x["path"]: (x["importance"], x["content"]) for x in nodes or ()}, threshold) for html, nodes in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            yield texts(b, [{x["path"]: (x["importance"], x["novelty"]) for x in nodes or ()} for nodes in b.column(3).to_pylist()])
 
-    met = rows.join(found, "ref", "left").select("page_id", "url", "html", "low")
-    return met.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return rows.join(found, "ref", "left").select("page_id", "url", "html", "nodes").mapInArrow(extract_met, schema)

@@ -1,12 +1,16 @@
 from __future__ import annotations
 
 import html
+import random
 import re
 
 import pytest
 
+from skyloom.llm import style_tree as module
 from skyloom.llm.style_tree import Page, extract_text, style_tree
 
+from .helpers import prose
+
 PAGES = "page_id long, url string, html string"
 
 
@@ -50,6 +54,17 @@ def test_shared_branches_are_low(spark):
     assert found == {k: f"Text number {k} is {'very ' * k}its own." for k in range(8)}
 
 
+def test_entropies(spark):
+    """Two forms on four pages; words of all pages, of two, and of one."""
+    rows = [(k, "http://h/", f"<div><p>all {'half' if k % 2 else 'other'} w{k} w{k}</p>{'<hr><b>x</b>' if k % 2 else ''}<a href=/>link{k}</a></div>") for k in range(4)]
+    tree = {r.path: r for r in style_tree(spark.createDataFrame(rows, PAGES)).collect()}
+    assert tree["/div"].presentation == pytest.approx(0.5) and tree["/div/p"].presentation == pytest.approx(0)
+    news = [0.0, 0.5, 0.5, 1.0, 1.0, 1.0, 1.0]
+    assert tree["/div/p"].novelty == pytest.approx(sum(news) / 7)
+    assert tree["/div/a"].content == 0 and tree["/div/a"].novelty == 1
+    assert tree["/div/b"].importance is None and tree["/div"].content == pytest.approx(1)
+
+
 def test_few_pages_are_not_compared(spark):
     found = [r.text for r in extract_text(spark.createDataFrame(site(2), PAGES)).collect()]
     assert all(t.startswith("Home") or t.startswith("HomeShop") for t in found)
@@ -103,17 +118,71 @@ def extracted(spark, bodies: list[str]) -> list[str]:
 
 
 def test_text_beside_an_article_stays(spark):
-    own = [f"Lead {'long ' * k}and text of number {k}." for k in range(6)]
+    own = [prose(random.Random(k), 40) for k in range(6)]
     found = extracted(spark, [f"<div class=lead><p>{x}</p></div><article><p>card {k}</p></article>" for k, x in enumerate(own)])
     assert found == [f"{x} card {k}" for k, x in enumerate(own)]
 
 
 def test_what_repeats_inside_articles_goes(spark):
     box = "<div class=box><p>Join our readers today</p></div>"
-    own = [f"Text {'long ' * (k + 3)}of number {k}." for k in range(6)]
+    own = [prose(random.Random(k), 60) for k in range(6)]
     assert extracted(spark, [f"<article><h1>T {k}</h1><p>{x}</p>{box}</article>" for k, x in enumerate(own)]) == [f"T {k} {x}" for k, x in enumerate(own)]
 
 
 def test_copies_of_an_article_stay_whole(spark):
     page = "<article><h1>Title</h1><p>one two</p><ul><li>three</ul><p>four</p></article>"
     assert set(extracted(spark, [page] * 5)) == {"Title one two three four"}
+
+
+def news(k: int, n: int = 50) -> str:
+    return prose(random.Random(1000 + k), n)
+
+
+def on_a_site(spark, monkeypatch, make, pages: int = 6, broadcast: bool = True) -> list[str]:
+    """The texts of pages that share a menu, an advert and a footer around what make gives."""
+    if not broadcast:
+        monkeypatch.setattr(module, "BROADCAST_NODES", 0)
+    bodies = []
+    for k in range(pages):
+        rng = random.Random(k)
+        menu = "".join(f"<li><a href=/{x}>{x}</a></li>" for x in prose(rng, rng.randint(3, 5)).split())
+        bodies.append(f"<nav><ul>{menu}</ul></nav><div class=one>{prose(rng, 4)}</div>{make(k)}<div class=two>(c) {prose(rng, 3)}</div>")
+    return extracted(spark, bodies)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_unnamed_adverts_and_menus_of_changing_words_go(spark, monkeypatch, broadcast):
+    """Nothing is named; the tree alone tells what is not the article."""
+    found = on_a_site(spark, monkeypatch, lambda k: f"<div class=three><h1>{news(k, 4)}</h1><p>{news(k)}</p></div>", 6, broadcast)
+    assert found == [f"{news(k, 4)} {news(k)}" for k in range(6)]
+
+
+def test_without_the_tree_texts_change(spark):
+    """All test pages of hosts with enough pages; their menus, adverts and footers go by importance alone."""
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    host = {r.page_id: r.host for r in module.hosted(pages).select("page_id", "host").collect()}
+    tree, none = ({r.page_id: r.text for r in extract_text(pages, t).collect()} for t in (module.THRESHOLD, 0.0))
+    several = [k for k, h in host.items() if sum(x == h for x in host.values()) >= module.LEAST_PAGES]
+    assert len(several) > 200 and all(len(tree[k]) < len(none[k]) for k in several)
+
+
+def test_sections_of_an_article_keep_their_ids(spark, monkeypatch):
+    make = lambda k: f'<article><h2 id="search">Search {news(k, 4)}</h2><p>{news(k)}</p><h2 id="related-work">{news(k, 3)}</h2><p class="alert">{news(k, 9)}</p></article>'
+    assert on_a_site(spark, monkeypatch, make) == [f"Search {news(k, 4)} {news(k)} {news(k, 3)} {news(k, 9)}" for k in range(6)]
+
+
+def test_names_of_the_body_are_layout(spark):
+    bodies = [f'<html><body class="right-sidebar"><p>{news(k)}</p></body></html>' for k in range(5)]
+    found = [r.text for r in extract_text(spark.createDataFrame([(k, "http://h/", x) for k, x in enumerate(bodies)], PAGES)).orderBy("page_id").collect()]
+    assert found == [news(k) for k in range(5)]
+    assert Page(bodies[0]).text() == news(0)
+
+
+def test_reader_comments_go(spark, monkeypatch):
+    make = lambda k: f'<main><p>{news(k)}</p><div class="comments"><article><p>{news(500 + k, 30)}</p></article></div></main>'
+    assert on_a_site(spark, monkeypatch, make) == [news(k) for k in range(6)]
+    assert Page(make(0)).text() == news(0)
