@@ -62,7 +62,7 @@ GAMMA = 0.9
 BROADCAST_NODES = 200_000
 #: A node on fewer pages of its host has importance 1: there is nothing to compare.
 LEAST_PAGES = 3
-COUNTED_AT_ONCE = 200_000
+COUNTED_AT_ONCE = 500_000
 
 # HTML's element kinds, and words by which branches name what is not the article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -296,40 +296,54 @@ def style_tree(pages: DataFrame) -> DataFrame:
         forms: Counter[tuple] = Counter()
         tokens: Counter[tuple] = Counter()
         logs: Counter[tuple] = Counter()  # of c occurrences on a page, c ln c
-
-        def out() -> pa.RecordBatch:
-            hosts, paths, kinds, hashes, more = zip(*forms, *tokens, strict=True) if forms else [()] * 5
-            columns = [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.int32()), pa.array(hashes, pa.int64()), pa.array(more, pa.int32())]
-            made = [*forms.values(), *tokens.values()]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.int64()), pa.array([0.0] * len(forms) + [logs.get(k, 0.0) for k in tokens], pa.float64())], ["host", "path", "kind", "hash", "kinds", "n", "logs"])
+        numbers: dict[tuple[str, str], int] = {}
+
+        def number(host: str, path: str) -> int:
+            if len(numbers) > COUNTED_AT_ONCE:
+                numbers.clear()
+            return numbers.setdefault((host, path), xxh64_intdigest(f"{host}\0{path}".encode("utf-8", "surrogatepass")) - (1 << 63))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            names = ["node", "hash", "kinds", "n", "logs", "host", "path"]
+            if forms:
+                hosts, paths, hashes, kinds = zip(*forms, strict=True)
+                nodes = [number(h, p) for h, p in zip(hosts, paths, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(hashes, pa.int64()), pa.array(kinds, pa.int32()), pa.array(list(forms.values()), pa.int64()), pa.nulls(len(nodes), pa.float64()), pa.array(hosts, pa.string()), pa.array(paths, pa.string())], names)
+            if tokens:
+                nodes, hashes = zip(*tokens, strict=True)
+                none = pa.nulls(len(nodes), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(hashes, pa.int64()), pa.nulls(len(nodes), pa.int32()), pa.array(list(tokens.values()), pa.int64()), pa.array([logs.get(k, 0.0) for k in tokens], pa.float64()), none, none], names)
 
         for b in batches:
             for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 page = Page(html.as_py())
                 for path, (form, kinds) in page.forms().items():
-                    forms[host, path, 0, xxh64_intdigest(form.encode("utf-8", "surrogatepass")) - (1 << 63), kinds] += 1
+                    forms[host, path, xxh64_intdigest(form.encode("utf-8", "surrogatepass")) - (1 << 63), kinds] += 1
                 for path, words in page.words().items():
+                    node = number(host, path)
                     for w, c in words.items():
-                        key = (host, path, 1, crc32(w.encode("utf-8", "surrogatepass")), 0)
+                        key = (node, crc32(w.encode("utf-8", "surrogatepass")))
                         tokens[key] += c
                         if c > 1:
                             logs[key] += c * log(c)
                 if len(forms) + len(tokens) > COUNTED_AT_ONCE:
-                    yield out()
+                    yield from out()
                     forms.clear()
                     tokens.clear()
                     logs.clear()
-        yield out()
+        yield from out()
 
-    rows = hosted(pages).select("host", "html").mapInArrow(count, "host string, path string, kind int, hash long, kinds int, n long, logs double")
-    same = settle(rows.groupBy("host", "path", "kind", "hash").agg(F.sum("n").alias("c"), F.max("kinds").alias("kinds"), F.sum("logs").alias("logs")), "features")
+    rows = hosted(pages).select("host", "html").mapInArrow(count, "node long, hash long, kinds int, n long, logs double, host string, path string")
+    # rows of forms have a host, rows of words have none: their node's number stands for host and path
+    same = settle(rows.groupBy("node", "hash", "host", "path").agg(F.sum("n").alias("c"), F.max("kinds").alias("kinds"), F.sum("logs").alias("logs")), "features")
     c = F.col("c")
-    sums = same.where("kind = 0").groupBy("host", "path").agg(F.sum("c").alias("pages"), F.max("kinds").alias("kinds"), F.sum(c * F.log(c)).alias("s"))
+    sums = same.where("host is not null").groupBy("node", "host", "path").agg(F.sum("c").alias("pages"), F.max("kinds").alias("kinds"), F.sum(c * F.log(c)).alias("s"))
     m = F.col("pages")
     # words, by the entropy over the pages of the node that they are in; a node of one page has no entropy
     entropy = F.when(m > 1, (F.log("c") - F.col("logs") / F.col("c")) / F.log(m)).otherwise(0.0)
-    words = same.where("kind = 1").join(sums.select("host", "path", "pages"), ["host", "path"]).withColumn("news", 1 - F.least(entropy, F.lit(1.0)))
-    own = words.groupBy("host", "path").agg(F.count("*").alias("types"), F.sum("news").alias("news"), F.sum(c * (F.col("news") + LEAST_INFORMATION)).alias("information"))
+    words = same.where("host is null").select("node", "c", "logs").join(sums.select("node", "pages"), "node").withColumn("news", 1 - F.least(entropy, F.lit(1.0)))
+    own = words.groupBy("node").agg(F.count("*").alias("types"), F.sum("news").alias("news"), F.sum(c * (F.col("news") + LEAST_INFORMATION)).alias("information"))
+    own = own.join(sums.select("node", "host", "path"), "node")
     # each node's own words count for all branches around it
     parts = F.split("path", "/")
     above = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))
