@@ -42,11 +42,14 @@ from math import log
 from types import MappingProxyType
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import session_of, settle
+from .simhash import whole_groups
 
 THRESHOLD = 0.25
 #: Novelty below which words are the same on most pages.
@@ -60,6 +63,8 @@ LEAST_INFORMATION = 0.02
 GAMMA = 0.9
 #: Nodes of style trees that are broadcast at most, behind a count.
 BROADCAST_NODES = 200_000
+#: Parts of all words, by their hashes, in which statistics are added up.
+PARTS = 64
 #: A node on fewer pages of its host has importance 1: there is nothing to compare.
 LEAST_PAGES = 3
 COUNTED_AT_ONCE = 500_000
@@ -281,6 +286,37 @@ def hosted(pages: DataFrame) -> DataFrame:
     return rows.withColumn("ref", F.xxhash64("host", "html"))
 
 
+def packed(node: np.ndarray, word: np.ndarray, c: np.ndarray, logs: np.ndarray) -> bytes:
+    """Words in order of node and hash: the nodes and how many words each has, differences of hashes, counts, and logs where a word occurs more than once."""
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    steps = np.diff(word, prepend=np.uint32(0))
+    steps[first] = word[first]
+    wide = int(c.max()) > 255
+    head = np.array([len(first), len(word), wide], "<u4")
+    held = np.diff(np.append(first, len(word))).astype("<u4")
+    return b"".join(x.tobytes() for x in (head, node[first].astype("<i8"), held, steps.astype("<u4"), c.astype("<u4" if wide else "<u1"), logs[c > 1].astype("<f4")))
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    nodes_n, n, wide = np.frombuffer(raw, "<u4", 3).tolist()
+    at = 12
+
+    def take(kind: str, many: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(raw, kind, many, at)
+        at += out.nbytes
+        return out
+
+    nodes, held, steps = take("<i8", nodes_n), take("<u4", nodes_n), take("<u4", n)
+    c = take("<u4" if wide else "<u1", n)
+    total = np.cumsum(steps, dtype=np.int64)
+    starts = np.cumsum(held, dtype=np.int64) - held
+    before = np.repeat(np.concatenate([[0], total])[starts], held)
+    logs = np.zeros(n, np.float32)
+    logs[c > 1] = take("<f4", int((c > 1).sum()))
+    return np.repeat(nodes, held), total - before, c, logs
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
     """host, path, pages, presentation, content, novelty, importance of every node of the hosts' style trees.
 
@@ -304,15 +340,25 @@ def style_tree(pages: DataFrame) -> DataFrame:
             return numbers.setdefault((host, path), xxh64_intdigest(f"{host}\0{path}".encode("utf-8", "surrogatepass")) - (1 << 63))
 
         def out() -> Iterator[pa.RecordBatch]:
-            names = ["node", "hash", "kinds", "n", "logs", "host", "path"]
             if forms:
                 hosts, paths, hashes, kinds = zip(*forms, strict=True)
                 nodes = [number(h, p) for h, p in zip(hosts, paths, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(hashes, pa.int64()), pa.array(kinds, pa.int32()), pa.array(list(forms.values()), pa.int64()), pa.nulls(len(nodes), pa.float64()), pa.array(hosts, pa.string()), pa.array(paths, pa.string())], names)
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array([x % PARTS for x in hashes], pa.int32()), "node": pa.array(nodes, pa.int64()), "hash": pa.array(hashes, pa.int64()), "kinds": pa.array(kinds, pa.int32()),
+                    "n": pa.array(list(forms.values()), pa.int64()), "host": pa.array(hosts, pa.string()), "path": pa.array(paths, pa.string()), "packed": pa.nulls(len(nodes), pa.binary()),
+                })
             if tokens:
-                nodes, hashes = zip(*tokens, strict=True)
-                none = pa.nulls(len(nodes), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(hashes, pa.int64()), pa.nulls(len(nodes), pa.int32()), pa.array(list(tokens.values()), pa.int64()), pa.array([logs.get(k, 0.0) for k in tokens], pa.float64()), none, none], names)
+                node, word = (np.array(x, kind) for x, kind in zip(zip(*tokens, strict=True), (np.int64, np.uint32), strict=True))
+                c, own = np.array(list(tokens.values()), np.uint32), np.array([logs.get(k, 0.0) for k in tokens], np.float32)
+                order = np.lexsort((word, node, word % PARTS))
+                node, word, c, own = node[order], word[order], c[order], own[order]
+                cuts = np.searchsorted(word % PARTS, np.arange(PARTS + 1))
+                for part, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                    if y > x:
+                        yield pa.RecordBatch.from_pydict({
+                            "part": pa.array([part], pa.int32()), **{k: pa.nulls(1, t) for k, t in (("node", pa.int64()), ("hash", pa.int64()), ("kinds", pa.int32()), ("n", pa.int64()), ("host", pa.string()), ("path", pa.string()))},
+                            "packed": pa.array([packed(node[x:y], word[x:y], c[x:y], own[x:y])], pa.binary()),
+                        })
 
         for b in batches:
             for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -333,17 +379,39 @@ def style_tree(pages: DataFrame) -> DataFrame:
                     logs.clear()
         yield from out()
 
-    rows = hosted(pages).select("host", "html").mapInArrow(count, "node long, hash long, kinds int, n long, logs double, host string, path string")
-    # rows of forms have a host, rows of words have none: their node's number stands for host and path
-    same = settle(rows.groupBy("node", "hash", "host", "path").agg(F.sum("n").alias("c"), F.max("kinds").alias("kinds"), F.sum("logs").alias("logs")), "features")
-    c = F.col("c")
-    sums = same.where("host is not null").groupBy("node", "host", "path").agg(F.sum("c").alias("pages"), F.max("kinds").alias("kinds"), F.sum(c * F.log(c)).alias("s"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each node, from the forms and words of a part: pages, kinds and sum of c ln c of forms; types, tokens, and sums of a word's entropy (not yet divided by ln m) and of that times its tokens."""
+        columns = ["node", "host", "path", "pages", "kinds", "s", "types", "tokens", "entropy", "weighted"]
+        kinds_of = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        for b in whole_groups(x.slice(i, 64) for x in batches for i in range(0, x.num_rows, 64)):
+            for part in np.unique(b.column(0).to_numpy()).tolist():
+                table = pa.Table.from_batches([b.filter(pc.equal(b.column(0), part))])
+                forms = table.filter(pc.is_null(table["packed"])).group_by(["node", "hash", "host", "path"]).aggregate([("n", "sum"), ("kinds", "max")])
+                found: list[list] = [forms["node"].to_pylist(), forms["host"].to_pylist(), forms["path"].to_pylist(), forms["n_sum"].to_pylist(), forms["kinds_max"].to_pylist(), [n * log(n) for n in forms["n_sum"].to_pylist()]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, kinds_of, strict=False)] + [pa.array([0] * forms.num_rows, t) for t in kinds_of[6:]], columns)
+                blobs = table["packed"].drop_null().to_pylist()
+                if blobs:
+                    node, word, c, own = (np.concatenate(x) for x in zip(*map(unpacked, blobs), strict=True))
+                    order = np.lexsort((word, node))
+                    node, word, c, own = node[order], word[order], c[order].astype(np.float64), own[order].astype(np.float64)
+                    first = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (word[1:] != word[:-1])]))
+                    node, c, own = node[first], np.add.reduceat(c, first), np.add.reduceat(own, first)
+                    spread = np.log(c) - own / c
+                    at = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+                    sums = [np.diff(np.append(at, len(node))), np.add.reduceat(c, at).astype(np.int64), np.add.reduceat(spread, at), np.add.reduceat(spread * c, at)]
+                    zero = [pa.nulls(len(at), pa.string())] * 2 + [pa.array(np.zeros(len(at)), pa.float64()).cast(t) for t in kinds_of[3:6]]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[at]), *zero, *map(pa.array, sums)], columns)
+
+    rows = hosted(pages).select("host", "html").mapInArrow(count, "part int, node long, hash long, kinds int, n long, host string, path string, packed binary")
+    dealt = rows.repartition(min(PARTS, max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "part").sortWithinPartitions("part")
+    schema = "node long, host string, path string, pages long, kinds int, s double, types long, tokens long, entropy double, weighted double"
+    added = settle(dealt.mapInArrow(add, schema), "features")  # a few rows for each node and part
     m = F.col("pages")
-    # words, by the entropy over the pages of the node that they are in; a node of one page has no entropy
-    entropy = F.when(m > 1, (F.log("c") - F.col("logs") / F.col("c")) / F.log(m)).otherwise(0.0)
-    words = same.where("host is null").select("node", "c", "logs").join(sums.select("node", "pages"), "node").withColumn("news", 1 - F.least(entropy, F.lit(1.0)))
-    own = words.groupBy("node").agg(F.count("*").alias("types"), F.sum("news").alias("news"), F.sum(c * (F.col("news") + LEAST_INFORMATION)).alias("information"))
-    own = own.join(sums.select("node", "host", "path"), "node")
+    sums = added.where("host is not null").groupBy("node", "host", "path").agg(F.sum("pages").alias("pages"), F.max("kinds").alias("kinds"), F.sum("s").alias("s"))
+    own = added.where("host is null").groupBy("node").agg(*[F.sum(x).alias(x) for x in ("types", "tokens", "entropy", "weighted")]).join(sums.select("node", "host", "path", "pages"), "node")
+    # entropies over the pages of the node that words are in; a node of one page has none
+    share = lambda c: F.when(m > 1, F.col(c) / F.log(m)).otherwise(0.0)
+    own = own.select("host", "path", "types", (F.col("types") - share("entropy")).alias("news"), (F.col("tokens") * (1 + LEAST_INFORMATION) - share("weighted")).alias("information"))
     # each node's own words count for all branches around it
     parts = F.split("path", "/")
     above = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))

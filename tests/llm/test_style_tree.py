@@ -186,3 +186,15 @@ def test_reader_comments_go(spark, monkeypatch):
     make = lambda k: f'<main><p>{news(k)}</p><div class="comments"><article><p>{news(500 + k, 30)}</p></article></div></main>'
     assert on_a_site(spark, monkeypatch, make) == [news(k) for k in range(6)]
     assert Page(make(0)).text() == news(0)
+
+
+def test_packing():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n, most in ((1, 2), (500, 5), (500, 1000)):
+        node, word = np.sort(rng.integers(-(1 << 62), 1 << 62, 7))[rng.integers(0, 7, n)], rng.integers(0, 1 << 32, n).astype(np.uint32)
+        order = np.lexsort((word, node))
+        node, word, c = node[order], word[order], rng.integers(1, most, n).astype(np.uint32)
+        logs = np.where(c > 1, c * 1.5, 0).astype(np.float32)
+        assert all((a == b).all() for a, b in zip(module.unpacked(module.packed(node, word, c, logs)), (node, word, c, logs), strict=True))
