@@ -35,10 +35,16 @@ from .common import session_of, shuffle_partitions, work_path
 MAGIC = b"SKYLEFT1"
 FOOTER = struct.Struct("<8Q8s")
 SAMPLE = 256
-#: Words whose ids a worker keeps in each of two generations: when the younger is full it becomes the older, which hands back what is asked for again.
-CACHED_WORDS = 450_000
+#: Bytes of the words and ids that a worker keeps in each of two generations: when the younger is full it becomes the older, which hands back what is asked for again.
+#: ENTRY: what Python takes for a word besides its letters and ids, about.
+CACHED_BYTES, ENTRY = 24 << 20, 140
+#: Runs of punctuation that are kept besides, and the longest one.
+KEPT_ENDS, LONGEST_END = 10_000, 64
 #: Below this character, letters stay single letters in NFC and lower case, but for the dotted capital I.
 LAST_SIMPLE, DOTTED_I = "\u0250", "\u0130"
+#: The least byte of UTF-8 that only characters from LAST_SIMPLE on have; combining marks are all there.
+NOT_SIMPLE = 0xCA
+MARKS = string.punctuation.encode()
 CHUNK_TOKENS = 1 << 20
 ENCODED_AT_ONCE = 1 << 19
 #: Values whose low bits are packed at once (a multiple of 8), and documents whose boundaries are selected at once.
@@ -126,7 +132,7 @@ class WordEncoder:
 
     Where the tokenizer drops white space and never joins over it, each word's
     ids are found once by the library and kept; a text's ids are then its
-    words' ids in order. ASCII texts are lower-cased first if the tokenizer does
+    words' ids in order. Simple texts are lower-cased first if the tokenizer does
     so itself. All other tokenizers get whole texts.
     """
 
@@ -146,9 +152,8 @@ class WordEncoder:
             self.by_word = False
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.older_cores: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {}
+        self.cached = 0
+        self.ends: dict[bytes, bytes] = {}
         suffix = (spec.get("model") or {}).get("end_of_word_suffix")
         self.is_end = np.zeros(size, bool)
         if suffix:
@@ -158,14 +163,14 @@ class WordEncoder:
     def _pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
-    def _cores(self, cores: list[str]) -> dict[str, bytes]:
+    def _cores(self, cores: list[bytes]) -> dict[bytes, bytes]:
         """Ids of runs of letters, each one pre-token: ASCII ones by the library's model at once, others joined by spaces and cut at word ends."""
-        found = {c: self._pack([t.id for t in self.tokenizer.model.tokenize(c)]) for c in cores if c.isascii()}
+        found = {c: self._pack([t.id for t in self.tokenizer.model.tokenize(c.decode())]) for c in cores if c.isascii()}
         rest = [c for c in cores if not c.isascii()]
         if not rest:
             return found
         groups = [rest[k : k + 200] for k in range(0, len(rest), 200)]
-        for own, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for own, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) != len(own):
@@ -178,61 +183,71 @@ class WordEncoder:
         """Ids of words, by the library; kept if there is room.
 
         A word that is letters and then ASCII punctuation is two pre-tokens, and
-        many words share either; all others are encoded whole.
+        many words share either; the letters are kept as a word of their own. All
+        others are encoded whole.
         """
         found: dict[bytes, bytes] = {}
-        split: list[tuple[bytes, str, str]] = []
-        odd: list[tuple[bytes, str]] = []
-        older, cores, marks = self.older.get, self.cores, string.punctuation
-        new: set[str] = set()
+        split: list[tuple[bytes, bytes, bytes]] = []
+        odd: list[bytes] = []
+        new: set[bytes] = set()
+        older, cache = self.older.get, self.cache.get
         for w in words:
             ids = older(w)
             if ids is not None:
                 found[w] = ids
                 continue
-            text = w.decode("utf-8", "replace")
-            core = text.rstrip(marks)
-            if not (self.in_parts and core.isalpha()):
-                odd.append((w, text))
-                continue
-            end = text[len(core) :]
-            if core.isascii():
+            core = w.rstrip(MARKS)
+            end = w[len(core) :]
+            if core.isalpha():  # bytes: ASCII letters only
                 core = core.lower()
-            elif max(core) >= LAST_SIMPLE or DOTTED_I in core:
-                odd.append((w, text))
+            elif not self._is_simple_run(core):
+                odd.append(w)
+                continue
+            if not self.in_parts:
+                odd.append(w)
                 continue
-            if core not in cores:
+            ids = cache(core) or older(core)
+            if ids is None:
                 new.add(core)
-            split.append((w, core, end))
-        learned = {c: self.older_cores[c] for c in new if c in self.older_cores}
-        new.difference_update(list(learned))
+                split.append((w, core, end))
+            else:
+                found[w] = ids + self._end(end) if end else ids
         if new:
-            learned |= self._cores(list(new))
+            found.update(self._cores(list(new)))
         for w, core, end in split:
-            ids = cores.get(core) or learned[core]
+            ids = found[core]
             found[w] = ids + self._end(end) if end else ids
         for k in range(0, len(odd), 8192):
             some = odd[k : k + 8192]
-            got = self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
-            found.update((w, self._pack(e.ids)) for (w, _), e in zip(some, got, strict=True))
-        if len(cores) + len(learned) > CACHED_WORDS:
-            self.older_cores, self.cores = cores, {}
-        self.cores.update(learned)
-        if len(self.cache) + len(found) > CACHED_WORDS:
-            self.older, self.cache = self.cache, {}
-        if len(found) <= CACHED_WORDS:
+            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
+            found.update((w, self._pack(e.ids)) for w, e in zip(some, got, strict=True))
+        size = ENTRY * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
+        if self.cached + size > CACHED_BYTES:
+            self.older, self.cache, self.cached = self.cache, {}, 0
+        if size <= CACHED_BYTES:
             self.cache.update(found)
+            self.cached += size
         return found
 
-    def _end(self, end: str) -> bytes:
-        if end not in self.ends:
-            if len(self.ends) > 10_000:
+    @staticmethod
+    def _is_simple_run(core: bytes) -> bool:
+        """Whether it is letters below LAST_SIMPLE, without the dotted capital I."""
+        text = core.decode("utf-8", "replace")
+        return text.isalpha() and max(text) < LAST_SIMPLE and DOTTED_I not in text
+
+    def _end(self, end: bytes) -> bytes:
+        ids = self.ends.get(end)
+        if ids is None:
+            ids = self._pack(self.tokenizer.encode(end.decode(), add_special_tokens=False).ids)
+            if len(self.ends) > KEPT_ENDS:
                 self.ends.clear()
-            self.ends[end] = self._pack(self.tokenizer.encode(end, add_special_tokens=False).ids)
-        return self.ends[end]
+            if len(end) <= LONGEST_END:
+                self.ends[end] = ids
+        return ids
 
     def _words(self, text: bytes) -> list[bytes]:
-        if self.lowers and text.isascii():
+        """Simple texts are lower-cased first: each of their letters stays one letter, so A-Z can go before all others."""
+        if self.lowers and (text.isascii() or np.frombuffer(text, np.uint8).max() < NOT_SIMPLE):
             low = text.lower()
             if not any(t in low for t in self.lower_special):
                 text = low

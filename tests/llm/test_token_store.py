@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -16,6 +17,8 @@ from .helpers import documents, frame
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
+with open(PATH, encoding="utf-8") as _f:
+    SPEC = _f.read()
 
 
 @settings(max_examples=60, deadline=None)
@@ -54,6 +57,24 @@ def test_words_apart_are_the_text_whole():
         assert own.encode(text.encode()) == expected, text
 
 
+def test_simple_letters_are_lower_cased_apart(monkeypatch):
+    monkeypatch.setattr(token_store, "CACHED_BYTES", 20_000)  # words come and go
+    own, plain = WordEncoder(SPEC), tokenizers.Tokenizer.from_str(SPEC)
+    texts = [f"A{c}B. X{c}!! {c}K ab'S {c}. Ab, KEPT. kept!! {''.join(map(chr, range(k, k + 9)))}A" for k, c in enumerate(map(chr, range(0x80, 0x260)), 0x80)]
+    expected = [np.array(e.ids, "<u2").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert own.encode_many([t.encode() for t in texts]) == expected
+    assert [own.encode(t.encode()) for t in texts] == expected
+
+
+def test_kept_words_are_bounded_by_bytes():
+    own, rng = WordEncoder(SPEC), random.Random(3)
+    for _ in range(25):
+        own.encode(" ".join("".join(rng.choices("abcdefghijklmnop", k=9)) + rng.choice(".,!") for _ in range(10_000)).encode())
+    kept = [d for d in vars(own).values() if isinstance(d, dict)]
+    assert sum(sys.getsizeof(d) + sum(map(sys.getsizeof, d)) + sum(map(sys.getsizeof, d.values())) for d in kept) < 56 << 20
+
+
 def test_other_tokenizers_get_whole_texts():
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         own = WordEncoder(f.read())
